@@ -57,7 +57,7 @@ def open_output(uri: str):
 
     files, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
     files.create_dir(os.path.dirname(path), recursive=True)
-    return files.open_output_stream(path)
+    return files.open_output_stream(path, compression=None)
 
 
 def open_input(uri: str):

@@ -9,6 +9,7 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.line_dedup import line_digest
 from tessera.llm.packing import pack
 from tessera.llm.simple8b import token_digest
+from tessera.llm.toxicity import toxicity
 from tessera.llm.warc import archive_digest
 
 
@@ -23,6 +24,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -41,6 +46,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_output": op1_token_output,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,

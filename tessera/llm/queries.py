@@ -8,6 +8,7 @@ from tessera.llm.common import table
 from tessera.llm.decontam import contamination
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.line_dedup import line_digest
+from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack
 from tessera.llm.simple8b import token_digest
 from tessera.llm.toxicity import toxicity
@@ -49,6 +50,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digest(table(spark, sf_dir, "pages"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_toxicity": op2_toxicity,
@@ -57,6 +62,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 ORACLE_SQL = {

@@ -45,6 +45,9 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low)
 
 
+_FITS_SHORT = _FITS[_bits(np.arange(1 << 16, dtype=np.uint64))]
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, words of each block, and exceptions of a row of unsigned integers."""
     values = np.asarray(values).astype(np.uint64)
@@ -57,7 +60,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     full[:n] = values
     grid[:, :BLOCK] = full.reshape(blocks, BLOCK)
     fits = np.full(grid.shape, 255, np.uint8)
-    fits[:, :BLOCK] = _FITS[_bits(full)].reshape(blocks, BLOCK)
+    fits[:, :BLOCK] = (_FITS_SHORT[full] if full.max() < len(_FITS_SHORT) else _FITS[_bits(full)]).reshape(blocks, BLOCK)
     pick = np.zeros((blocks, BLOCK), np.uint8)  # escape, unless a selector fits
     smallest = {1: fits}  # the least of so many neighbours, by powers of two
     most = int(fits[:, :BLOCK].max())

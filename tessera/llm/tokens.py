@@ -15,29 +15,43 @@ from collections.abc import Sequence
 
 import numpy as np
 
-#: Cached units in a worker; a full cache is emptied, which changes nothing but speed.
-CACHED_UNITS = 500_000
+#: Units in a worker's cache; a full one makes way, but for what is used again. This changes nothing but speed.
+CACHED_UNITS = 700_000
+#: Cached pre-tokens of new units, likewise.
+CACHED_WORDS = 150_000
 #: Longer units are not kept.
 LONGEST_UNIT = 64
 
-_BESIDE = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Bytes as the characters that byte-level vocabularies use for them (fixed by the format).
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: The pre-token pattern of byte-level BPE with its own splitting (fixed by the format).
+#: Latin letters, with at most one mark after them: the same pre-tokens under either pattern.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([,.]?)").fullmatch
+#: A character that does not stand for itself, beside a leading space.
+_ODD = re.compile(r"[^!-~]", re.ASCII).search
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class _Index(dict):
-    """Unit -> its number; new units are tokenized on first sight."""
+    """Unit -> its number; new units are tokenized on first sight, with what stands before them.
 
-    def __init__(self, owner: UnitTokenizer):
+    ``older``: the index before the last clearing, whose units need no tokenizer.
+    """
+
+    def __init__(self, owner: UnitTokenizer, before: str, older: dict[str, int]):
         super().__init__()
-        self.owner = owner
+        self.owner, self.before, self.older = owner, before, older
 
     def __missing__(self, unit: str) -> int:
-        return self.owner.add(unit)
+        if (k := self.older.get(unit)) is not None:
+            k = self.owner.again(k, unit)
+        else:
+            k = self.owner.add(self.before + unit, unit)
+        if len(unit) <= LONGEST_UNIT:
+            self[unit] = k
+        return k
 
 
 class UnitTokenizer:
@@ -57,66 +71,100 @@ class UnitTokenizer:
         parts = parts.get("pretokenizers", [parts])
         pattern = next((p["pattern"]["Regex"] for p in parts if p["type"] == "Split"), _BYTE_LEVEL)
         self.pieces = regex.compile(pattern).findall
+        self.lead = " " if pattern == _BYTE_LEVEL else ""  # the other vocabulary's pattern leaves spaces out
         self.normalizer = self.tokenizer.normalizer
         self.tokenize = self.tokenizer.model.tokenize
         self._reset()
 
     def _reset(self) -> None:
-        self.index = _Index(self)
+        """Start an empty cache and keep the one before it as the older one."""
+        self.old_flat, self.old_starts, self.old_counts = getattr(self, "flat", None), getattr(self, "starts", None), getattr(self, "counts", None)
+        before = [self.first, self.later] if self.old_flat is not None else [{}, {}]
+        for index in before if self.old_flat is not None else []:
+            index.older = {}
+        self.first, self.later = _Index(self, "", before[0]), _Index(self, " ", before[1])
         self.words: dict[str, list[int]] = {}
         self.flat = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
-        self.starts = np.zeros(1 << 14, dtype=np.int64)
-        self.counts = np.zeros(1 << 14, dtype=np.int64)
+        self.starts = np.zeros(1 << 14, dtype=np.int32)
+        self.counts = np.zeros(1 << 14, dtype=np.int32)
+        self.bordered = np.zeros(1 << 14, dtype=bool)  # units that are empty, or begin or end with white space
         self.units = 0
 
+    def split(self, unit: str) -> list[str]:
+        """The pre-tokens of a unit. Letters with at most one mark after them need no pattern."""
+        if (plain := _PLAIN(unit)) is None:
+            return self.pieces(unit)
+        word, mark = plain.groups()
+        if word[0] == " ":
+            word = self.lead + word[1:]
+        return [word, mark] if mark else [word]
+
     def ids(self, unit: str) -> list[int]:
         """The ids of a unit, one pre-token after the other."""
         if self.normalizer is not None:
             unit = self.normalizer.normalize_str(unit)
         out: list[int] = []
-        for piece in self.pieces(unit):
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
+        for piece in self.split(unit):
             if (got := self.words.get(piece)) is None:
-                got = [t.id for t in self.tokenize(piece.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS))]
+                chars = piece.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS) if _ODD(piece, 1 if piece[0] == " " else 0) else piece
+                got = [t.id for t in self.tokenize("Ġ" + chars[1:] if chars[0] == " " else chars)]
                 if len(piece) <= LONGEST_UNIT:
                     self.words[piece] = got
             out += got
         return out
 
-    def add(self, unit: str) -> int:
-        got = self.ids(unit)
+    def again(self, k: int, body: str) -> int:
+        """Take over a unit of the older cache."""
+        start = self.old_starts[k]
+        return self._keep(self.old_flat[start : start + self.old_counts[k]], body)
+
+    def add(self, unit: str, body: str) -> int:
+        return self._keep(self.ids(unit), body)
+
+    def _keep(self, got: Sequence[int], body: str) -> int:
         while self.used + len(got) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         if self.units == len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+            self.bordered = np.concatenate([self.bordered, np.zeros_like(self.bordered)])
         self.flat[self.used : self.used + len(got)] = got
         k = self.units
         self.starts[k], self.counts[k] = self.used, len(got)
+        if not body or body[0].isspace() or body[-1].isspace():
+            self.bordered[k] = True
         self.used += len(got)
         self.units += 1
-        if len(unit) <= LONGEST_UNIT:
-            self.index[unit] = k
         return k
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.units > CACHED_UNITS:
             self._reset()
-        look = self.index.__getitem__
+        first, later = self.first.__getitem__, self.later.__getitem__
+
+        def look(units: list[str]) -> np.ndarray:
+            found = np.empty(len(units), dtype=np.int32)
+            found[0] = first(units[0])
+            found[1:] = np.fromiter(map(later, units[1:]), np.int32, len(units) - 1)
+            return found
+
         rows: list[np.ndarray] = []
         for text in texts:
-            # a run of white space stays whole: cut only between two other characters
-            units = text.split(" ") if not _BESIDE.search(text) else _CUT.split(text)
-            found = [look(units[0])]
-            found.extend(map(look, [" " + u for u in units[1:]]))
-            rows.append(np.array(found, dtype=np.int64))
+            found = look(text.split(" "))
+            if self.bordered[found].any():  # a run of white space stays whole: cut only between two other characters
+                found = look(_CUT.split(text))
+            rows.append(found)
         if not rows:
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         unit = np.concatenate(rows)
         counts = self.counts[unit]
-        ends = np.cumsum(counts)
+        ends = np.cumsum(counts, dtype=np.int64)
         total = int(ends[-1])
-        at = np.arange(total, dtype=np.int64) + np.repeat(self.starts[unit] - (ends - counts), counts)
+        at = np.repeat((self.starts[unit] - (ends - counts)).astype(np.int32), counts)
+        at += np.arange(total, dtype=np.int32)
         sums = np.concatenate([[0], ends])
         last = np.cumsum([len(r) for r in rows])
         per_text = np.diff(np.concatenate([[0], sums[last]]))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.common import table
 from tessera.llm.decontam import contamination
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.html_graph import extract
 from tessera.llm.line_dedup import line_digest
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack
@@ -54,6 +55,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_toxicity": op2_toxicity,
@@ -63,6 +68,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
     "op9_ngram_join": op9_ngram_join,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL = {

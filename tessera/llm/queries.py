@@ -12,6 +12,7 @@ from tessera.llm.line_dedup import line_digest
 from tessera.llm.ngram_join import ngram_join
 from tessera.llm.packing import pack
 from tessera.llm.simple8b import token_digest
+from tessera.llm.tool_calls import link_tool_calls
 from tessera.llm.toxicity import toxicity
 from tessera.llm.warc import archive_digest
 
@@ -43,6 +44,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(table(spark, sf_dir, "conversations"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_tool_calls": op6_tool_calls,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
     "op9_ngram_join": op9_ngram_join,
@@ -72,6 +78,26 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_tool_calls": """
+        WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+             a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' AND turn >= 1),
+             calls AS (
+                 SELECT c.conv_id, c.turn, 0 AS idx, 'call' AS kind, 0 AS level, a.conv_id IS NOT NULL AS linked, length(c.text) >= 1 AND c.turn >= 0 AS valid,
+                        '{"arguments":{"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '},"depends_on":['
+                        || CASE WHEN c.turn >= 2 THEN '"' || c.conv_id || ':' || (c.turn - 2) || '"' ELSE '' END
+                        || '],"id":"' || c.conv_id || ':' || c.turn || '","name":"respond","result":'
+                        || CASE WHEN a.conv_id IS NULL THEN 'null' ELSE '{"content":' || CAST(to_json(a.text) AS VARCHAR) || ',"turn":' || a.turn || '}' END
+                        || ',"valid":' || CASE WHEN length(c.text) >= 1 AND c.turn >= 0 THEN 'true' ELSE 'false' END || '}' AS json
+                 FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1),
+             orphans AS (
+                 SELECT conv_id, turn, 0, 'orphan', 0, CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN),
+                        '{"id":"' || conv_id || ':' || (turn - 1) || '","result":{"content":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}}'
+                 FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = a.conv_id AND c.turn = a.turn - 1)),
+             plain AS (
+                 SELECT conv_id, turn, 0, 'message', 0, CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN),
+                        '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}'
+                 FROM conversations WHERE role NOT IN ('user', 'assistant') OR role = 'assistant' AND turn < 1)
+        SELECT * FROM calls UNION ALL SELECT * FROM orphans UNION ALL SELECT * FROM plain""",
     "op4_line_dedup": r"""
         WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
              l AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM s),

@@ -1,8 +1,66 @@
-"""The corpus pipeline: filled in as its operators appear."""
+"""The corpus pipeline: five stages from documents to packed sequences.
 
-STAGES = []
+Each stage takes all that its predecessor kept and returns the columns of
+``documents``, but for the last, which returns the pieces of the packing. A
+stage's result is written to the shared folder and read again, so a lost executor
+costs a part of one stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm.common import table, written
+from tessera.llm.decontam import decontaminated
+from tessera.llm.line_dedup import line_dedup
+from tessera.llm.ngram_join import one_of_each
+from tessera.llm.packing import pack
+from tessera.llm.queries import tokenizer_path
+from tessera.llm.toxicity import without_toxic
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten or more documents go; the documents stay."""
+    return line_dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one document stays."""
+    return one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a passage with the benchmark go."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left is packed into sequences of at most 4,096 tokens."""
+    return pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("best-fit packing", pack_sequences),
+]
+
+#: A trained classifier and tokenizers are not SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{k}")
+    return docs

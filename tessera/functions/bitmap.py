@@ -24,7 +24,7 @@ def from_positions(df: DataFrame, batch: Column, position: Column) -> DataFrame:
 def positions(bitmap: DataFrame) -> DataFrame:
     """batch_id, pos of each set bit."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit(F.col("word"), b) == 1)
-    return bitmap.select("batch_id", (F.col("word_id") * WORD + F.explode(bits)).alias("pos"))
+    return bitmap.select("batch_id", "word_id", F.explode(bits).alias("bit")).select("batch_id", (F.col("word_id") * WORD + F.col("bit")).alias("pos"))
 
 
 def popcount(bitmap: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def either(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def complement(bitmap: DataFrame, batches: DataFrame, bits: int) -> DataFrame:
     """All bits of the given batches (column batch_id) that are not set, up to ``bits`` in each."""
-    frame = batches.select("batch_id").distinct().select("batch_id", F.explode(F.sequence(F.lit(0), F.lit((bits - 1) // WORD))).cast("long").alias("word_id"))
+    frame = batches.select("batch_id").distinct().select("batch_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((bits - 1) // WORD).cast("long"))).alias("word_id"))
     last = (1 << ((bits - 1) % WORD + 1)) - 1
     mask = F.when(F.col("word_id") == (bits - 1) // WORD, F.lit(last)).otherwise(F.lit(_ALL)).cast("long")
     out = frame.join(bitmap, KEYS, "left").select(*KEYS, mask.bitwiseAND(F.bitwise_not(F.coalesce("word", F.lit(0).cast("long")))).alias("word"))

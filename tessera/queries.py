@@ -1,4 +1,8 @@
-"""The engine's registered queries and the equivalent SQL."""
+"""The engine's registered queries over the test tables, and the equivalent SQL.
+
+``lineitem`` stands for the (key, val) table with l_suppkey and l_quantity;
+orders by o_orderkey and events by event_id stand for tables in batches.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,449 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tessera.functions import bitmap
+from tessera.operators import aggregate as agg
+from tessera.operators import joins, membership, partitioning, profile
+from tessera.plans import predicate as p
+from tessera.plans import pruning
+from tessera.sources.synthetic import SyntheticTable
+from tessera.sources.tables import BATCH_ROWS, batch_of, key_value, table
+from tessera.streaming.pipeline import stream_sum
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Workers that partition tables are made for: a parameter, so results don't depend on the machine.
+THREADS = 12
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[name] = query
+        if sql:
+            ORACLE_SQL[name] = sql
+        return query
+
+    return add
+
+
+def _items(spark: SparkSession, d: str, key: str = "l_suppkey") -> DataFrame:
+    return key_value(table(spark, d, "lineitem"), key, "l_quantity")
+
+
+def _sum_sql(where: str, key: str = "l_suppkey", source: str = "lineitem", val: str = "CAST(l_quantity AS BIGINT)") -> str:
+    return f"SELECT CAST({key} AS BIGINT) AS key, CAST(sum({val}) AS BIGINT) AS total FROM {source} WHERE {where} GROUP BY 1"
+
+
+# --- threshold aggregation: shapes of the data, then plans -----------------------------------
+def _threshold(name: str, key: str, limit: int) -> None:
+    register(name, _sum_sql(f"CAST(l_quantity AS BIGINT) > {limit}", key))(lambda spark, d: agg.threshold_sum(_items(spark, d, key), limit))
+
+
+for _name, _key, _limit in (
+    ("threshold_sum", "l_suppkey", 25), ("threshold_sum_none", "l_suppkey", 1000), ("threshold_sum_all", "l_suppkey", -200), ("threshold_sum_high_sel", "l_suppkey", 5),
+    ("threshold_sum_low_sel", "l_suppkey", 48), ("threshold_sum_few_keys", "l_linenumber", 25), ("threshold_sum_many_keys", "l_partkey", 25), ("threshold_sum_most_keys", "l_orderkey", 25),
+):
+    _threshold(_name, _key, _limit)
+
+
+@register("threshold_sum_single_key", _sum_sql("l_quantity > 25", "7"))
+def _single_key(spark, d):
+    return agg.threshold_sum(key_value(table(spark, d, "lineitem"), F.lit(7), "l_quantity"), 25)
+
+
+@register("threshold_sum_unaligned", _sum_sql("CAST(floor(o_totalprice) AS BIGINT) > 1000 AND o_orderkey < 12345", "o_custkey", "orders", "CAST(floor(o_totalprice) AS BIGINT)"))
+def _unaligned(spark, d):
+    orders = table(spark, d, "orders").filter("o_orderkey < 12345")
+    return agg.threshold_sum(key_value(orders, "o_custkey", F.floor("o_totalprice")), 1000)
+
+
+@register("threshold_sum_negative", _sum_sql("CAST(l_quantity AS BIGINT) - 50 > -30", val="CAST(l_quantity AS BIGINT) - 50"))
+def _negative(spark, d):
+    return agg.threshold_sum(key_value(table(spark, d, "lineitem"), "l_suppkey", F.col("l_quantity").cast("long") - 50), -30)
+
+
+@register("threshold_sum_selected", _sum_sql("l_quantity > 25 AND l_suppkey % 3 = 0"))
+def _selected(spark, d):
+    return agg.selected_sum(_items(spark, d), (F.col("val") > 25) & (F.col("key") % 3 == 0))
+
+
+@register("threshold_sum_two_phase", ORACLE_SQL["threshold_sum"])
+def _two_phase(spark, d):
+    parts = agg.partial_sums(_items(spark, d), F.pmod(F.xxhash64("key", "val"), F.lit(8)), 25)
+    return agg.merge_partials(parts)
+
+
+@register("threshold_sum_range_partitioned", ORACLE_SQL["threshold_sum_many_keys"])
+def _range_partitioned(spark, d):
+    return agg.range_partitioned_sum(_items(spark, d, "l_partkey"), 25, 4 * spark.sparkContext.defaultParallelism)
+
+
+@register("threshold_sum_adaptive", ORACLE_SQL["threshold_sum_many_keys"])
+def _adaptive(spark, d):
+    return agg.adaptive_sum(_items(spark, d, "l_partkey"), 25)
+
+
+@register("threshold_sum_stream", ORACLE_SQL["threshold_sum"])
+def _stream(spark, d):
+    return stream_sum(spark, f"{d}/lineitem.parquet", F.col("l_suppkey"), F.col("l_quantity"), 25)
+
+
+@register("partial_sums_by_batch", f"SELECT o_orderkey // {BATCH_ROWS} AS part, o_custkey AS key, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS partial FROM orders WHERE CAST(floor(o_totalprice) AS BIGINT) > 1000 GROUP BY 1, 2")
+def _partials(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("key"), F.floor("o_totalprice").alias("val"))
+    return agg.partial_sums(orders, batch_of("o_orderkey"), 1000)
+
+
+@register("merged_partials", "SELECT key, CAST(sum(v) AS BIGINT) AS total FROM (VALUES (1, 10), (2, 20), (2, 30), (3, 40)) t(key, v) GROUP BY key")
+def _merged(spark, d):
+    one, two = (spark.createDataFrame(x, "key int, partial long") for x in ([(1, 10), (2, 20)], [(2, 30), (3, 40)]))
+    return agg.merge_partials(one, two)
+
+
+@register("first_groups", _sum_sql("l_quantity > 25") + " ORDER BY key LIMIT 10")
+def _first(spark, d):
+    return agg.first_groups(agg.threshold_sum(_items(spark, d), 25))
+
+
+_SYNTHETIC_SQL = "SELECT 10 AS groups, CAST(100000 AS BIGINT) AS n, TRUE AS keys_in_range, TRUE AS values_in_range, TRUE AS values_vary"
+
+
+@register("generated_template", _SYNTHETIC_SQL)
+def _generated(spark, d):
+    t = SyntheticTable(rows=100_000, keys=10, low=-100, high=100).read(spark)
+    return t.agg(
+        F.count_distinct("key").cast("int").alias("groups"), F.count("*").alias("n"), ((F.min("key") == 0) & (F.max("key") == 9)).alias("keys_in_range"),
+        ((F.min("val") >= -100) & (F.max("val") < 100)).alias("values_in_range"), (F.count_distinct("val") == 200).alias("values_vary"),
+    )
+
+
+@register("generated_sum")
+def _generated_sum(spark, d):
+    return agg.threshold_sum(SyntheticTable(rows=1_000_000).read(spark), 500)
+
+
+# --- predicates ------------------------------------------------------------------------------
+_C0, _C1 = p.Col(0), p.Col(1)
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select(F.col("user_id").alias("col0"), F.floor("value").alias("col1"), "event_id")
+
+
+_EVENTS_SQL = "SELECT event_id FROM (SELECT user_id AS col0, CAST(floor(value) AS BIGINT) AS col1, event_id FROM events) t WHERE "
+
+
+def _predicate(name: str, node: p.Node, sql: str, selection: str | None = None) -> None:
+    register(name, _EVENTS_SQL + sql)(lambda spark, d: p.select(_events(spark, d), node, F.expr(selection) if selection else None).select("event_id"))
+
+
+def _op(sign: str, a: p.Node | int, b: p.Node | int) -> p.Op:
+    node = lambda x: x if isinstance(x, p.Node) else p.Lit(x)
+    return p.Op(sign, node(a), node(b))
+
+
+for _name, _sign in (("eq", "="), ("ne", "!="), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
+    _predicate(f"pred_{_name}", _op(_sign, _C0, 70), f"col0 {_sign} 70")
+_LONG = tuple(range(0, 150, 13))
+_predicate("pred_literal_left", _op("<", 100, _C0), "100 < col0")
+_predicate("pred_column_truthy", _C0, "col0 <> 0")
+_predicate("pred_literal_truthy", p.And((p.Lit(5), p.Lit(True), _op("<", _C0, 9))), "col0 < 9")
+_predicate("pred_literal_null", p.Or((p.Lit(None), p.Lit(0.0), _op("<", _C0, 9))), "col0 < 9")
+_predicate("pred_not", p.Not(_op(">=", _C0, 100)), "NOT (col0 >= 100)")
+_predicate("pred_and", p.And((_op(">", _C0, 40), _op("<", _C1, 50))), "col0 > 40 AND col1 < 50")
+_predicate("pred_or", p.Or((_op("<", _C0, 20), _op(">", _C0, 130))), "col0 < 20 OR col0 > 130")
+_predicate("pred_empty_and", p.And(()), "TRUE")
+_predicate("pred_empty_or", p.Or(()), "FALSE")
+_predicate("pred_nested", p.Or((p.And((_op(">", _C0, 100), _op("<", _C1, 50))), _op("=", _C0, 0))), "(col0 > 100 AND col1 < 50) OR col0 = 0")
+_predicate("pred_selection_mask", _op(">", _C0, 100), "event_id % 3 = 1 AND col0 > 100", "event_id % 3 = 1")
+_predicate("pred_in_small", p.In(0, (50, 150, 3, 50)), "col0 IN (3, 50, 150)")
+_predicate("pred_in_one", p.In(0, (7, 7)), "col0 = 7")
+_predicate("pred_in_large", p.In(0, _LONG), f"col0 IN {_LONG}")
+_predicate("pred_in_empty", p.In(0, ()), "FALSE")
+_predicate("pred_not_in", p.Not(p.In(0, _LONG)), f"col0 NOT IN {_LONG}")
+_predicate("pred_col_col", _op(">", _C0, _C1), "col0 > col1")
+_predicate("pred_arith_compare", _op(">", _op("+", _C0, 5), _op("*", _C1, 2)), "col0 + 5 > col1 * 2")
+_predicate("pred_f64_literal", _op(">", _C0, 99.5), "col0 > 99.5")
+_predicate("pred_null_literal", p.Not(_op("=", _C0, p.Lit(None))), "TRUE")
+_predicate("arith_add", _op("+", _C0, -30), "col0 + -30 <> 0")
+_predicate("arith_sub", _op("-", _C0, 30), "col0 - 30 <> 0")
+_predicate("arith_sub_literal_left", _op("-", 30, _C0), "30 - col0 <> 0")
+_predicate("arith_mul", _op("*", _C0, 12), "col0 * 12 <> 0")
+_predicate("arith_mul_zero", _op("*", _C0, 0), "col0 * 0 <> 0")
+_predicate("arith_div", _op("/", _C0, -40), "col0 // 40 <> 0")
+_predicate("arith_div_zero", _op("/", _C0, 0), "FALSE")
+_predicate("arith_div_literal_left", _op("/", 40, _C0), "col0 <> 0 AND 40 // (CASE WHEN col0 = 0 THEN 1 ELSE col0 END) <> 0")
+_predicate("arith_div_compare", _op("=", _op("/", _C0, 7), 3), "col0 // 7 = 3")
+_NESTED = p.Not(p.Or((p.Not(p.And((_op(">", _C0, 40), p.Lit(True), p.And((_op("<", _C1, 50),))))), p.In(0, (60,)), _op(">", 3, 5))))
+_predicate("simplify_equivalence", _NESTED, "col0 > 40 AND col1 < 50 AND col0 <> 60")
+
+_NULLS = "(VALUES (1, 5), (2, NULL), (3, 0), (4, -7))"
+
+
+@register("pred_null_not", f"SELECT id FROM {_NULLS} t(id, v) WHERE NOT coalesce(v > 0, FALSE)")
+def _null_not(spark, d):
+    df = spark.createDataFrame([(5, 1), (None, 2), (0, 3), (-7, 4)], "v long, id int")
+    return p.select(df, p.Not(_op(">", _C0, 0))).select("id")
+
+
+@register("pred_null_truthy", f"SELECT id FROM {_NULLS} t(id, v) WHERE coalesce(v <> 0, FALSE)")
+def _null_truthy(spark, d):
+    return p.select(spark.createDataFrame([(5, 1), (None, 2), (0, 3), (-7, 4)], "v long, id int"), _C0).select("id")
+
+
+@register("pred_text", "SELECT '(((col0 > 100) AND (col1 < 50)) OR (col0 = 0))' AS nested, 'NOT (col0 IN (1, 2))' AS negated, '(col0 * 2.500000)' AS product, 'true' AS nothing")
+def _text(spark, d):
+    nested = p.Or((p.And((_op(">", _C0, 100), _op("<", _C1, 50))), _op("=", _C0, 0)))
+    row = (p.text(nested), p.text(p.Not(p.In(0, (1, 2)))), p.text(_op("*", _C0, 2.5)), p.text(p.And(())))
+    return spark.createDataFrame([row], "nested string, negated string, product string, nothing string")
+
+
+# --- joins -----------------------------------------------------------------------------------
+def _orders_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, d, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("payload"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("payload"))
+    return orders, lines
+
+
+@register("join_inner", "SELECT o_orderkey AS key, o_custkey AS lp, l_partkey AS rp FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 2000")
+def _inner(spark, d):
+    return joins.inner_join(*_orders_lines(spark, d))
+
+
+@register("join_left_outer", "SELECT o_orderkey AS key, o_custkey AS lp, l_partkey AS rp FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 2000")
+def _left_outer(spark, d):
+    return joins.left_outer_join(*_orders_lines(spark, d))
+
+
+_L, _R = [(1, 10), (1, 11), (2, 20), (2, 21), (2, 22), (9, 90)], [(1, 100), (1, 101), (2, 200), (2, 201), (7, 700)]
+_SIDES_SQL = "SELECT l.key, l.payload AS lp, r.payload AS rp FROM (VALUES {}) l(key, payload) {} JOIN (VALUES {}) r(key, payload) ON l.key = r.key"
+_values = lambda rows: ", ".join(map(str, rows))
+
+
+@register("join_inner_dups", _SIDES_SQL.format(_values(_L), "", _values(_R)))
+def _inner_dups(spark, d):
+    return joins.inner_join(*(spark.createDataFrame(x, "key int, payload int") for x in (_L, _R)))
+
+
+@register("join_left_outer_dups", _SIDES_SQL.format(_values(_L), "LEFT", _values(_R)))
+def _left_dups(spark, d):
+    return joins.left_outer_join(*(spark.createDataFrame(x, "key int, payload int") for x in (_L, _R)))
+
+
+# --- zone maps -------------------------------------------------------------------------------
+_ZONES_SQL = f"SELECT o_orderkey // {BATCH_ROWS} AS batch_id, count(*) AS n, min(o_orderkey) AS lo, max(o_orderkey) AS hi, min(o_custkey) AS clo, max(o_custkey) AS chi FROM orders GROUP BY 1"
+
+
+def _zones(spark: SparkSession, d: str) -> DataFrame:
+    return pruning.zone_map(table(spark, d, "orders"), batch_of("o_orderkey"), ["o_orderkey", "o_custkey"])
+
+
+@register("zone_map", f"SELECT batch_id, n, lo AS min_o_orderkey, hi AS max_o_orderkey, clo AS min_o_custkey, chi AS max_o_custkey FROM ({_ZONES_SQL}) z")
+def _zone_map(spark, d):
+    return _zones(spark, d)
+
+
+_O = ["o_orderkey", "o_custkey"]
+_PRUNE = {
+    "gt": (_op(">", _C0, 7000), "hi <= 7000"), "ge": (_op(">=", _C0, 6144), "hi < 6144"), "lt": (_op("<", _C0, 4096), "lo >= 4096"), "le": (_op("<=", _C0, 4095), "lo > 4095"),
+    "eq": (_op("=", _C0, 5000), "5000 < lo OR 5000 > hi"), "ne": (_op("!=", _C0, 5000), "FALSE"), "flipped": (_op("<", 7000, _C0), "hi <= 7000"),
+    "in_list": (p.In(0, (10, 9000)), "(10 < lo OR 10 > hi) AND (9000 < lo OR 9000 > hi)"), "in_empty": (p.In(0, ()), "TRUE"),
+    "conj": (p.And((_op(">", _C0, 4000), _op("<", _C0, 6000))), "hi <= 4000 OR lo >= 6000"), "disj": (p.Or((_op("<", _C0, 4000), _op(">", _C0, 9000))), "lo >= 4000 AND hi <= 9000"),
+    "negated": (p.Not(_op(">", _C0, 7000)), "FALSE"), "never": (_op("=", _C1, 5), "5 < clo OR 5 > chi"), "column": (_C0, "FALSE"), "no_arms": (p.Or(()), "TRUE"),
+}
+
+
+@register("prune_decisions", f"SELECT batch_id, {', '.join(f'({sql}) AS {name}' for name, (_, sql) in _PRUNE.items())} FROM ({_ZONES_SQL}) z")
+def _decisions(spark, d):
+    return _zones(spark, d).select("batch_id", *[pruning.prunable(node, _O).alias(name) for name, (node, _) in _PRUNE.items()])
+
+
+@register("prune_then_scan", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 9000")
+def _prune_scan(spark, d):
+    orders, node = table(spark, d, "orders").select(*_O), _op(">", _C0, 9000)
+    return p.select(pruning.scan_unpruned(orders, batch_of("o_orderkey"), _zones(spark, d), node, _O).select(*_O), node)
+
+
+@register("prune_never", "SELECT count(*) AS batches, CAST(0 AS BIGINT) AS pruned FROM (SELECT DISTINCT event_id // 2048 AS b FROM events) t")
+def _prune_never(spark, d):
+    zones = pruning.zone_map(table(spark, d, "events"), batch_of("event_id"), ["user_id"])
+    return zones.agg(F.count("*").alias("batches"), F.count_if(pruning.prunable(_op(">", _C0, 20), ["user_id"])).alias("pruned"))
+
+
+# --- key ranges ------------------------------------------------------------------------------
+_PASSING = "(SELECT CAST(l_partkey AS BIGINT) AS key, CAST(l_quantity AS BIGINT) AS val FROM lineitem WHERE l_quantity > 45 AND (l_partkey < 150 OR l_quantity > 49 AND l_partkey % 5 = 0))"
+_SPAN = f"t AS (SELECT * FROM {_PASSING} s), s AS (SELECT min(key) AS lo, max(key) AS hi FROM t)"
+_BUCKETS = f"""
+    {_SPAN}, w AS (SELECT lo, hi, greatest(1, least({16 * THREADS}, hi - lo + 1)) AS nb FROM s), v AS (SELECT *, greatest(1, (hi - lo + 1) // nb) AS width FROM w),
+    c AS (SELECT CAST(least((key - lo) // width, nb - 1) AS INT) AS bucket, count(*) AS n FROM t, v GROUP BY 1),
+    h AS (SELECT CAST(i AS INT) AS bucket, lo + i * width AS lo, CASE WHEN i = nb - 1 THEN hi + 1 ELSE lo + (i + 1) * width END AS hi, coalesce(n, 0) AS n
+          FROM v, (SELECT unnest(range({16 * THREADS})) AS i) r LEFT JOIN c ON c.bucket = i WHERE i < nb)"""
+
+
+def _skewed(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d, "l_partkey").filter("val > 45 AND (key < 150 OR val > 49 AND key % 5 = 0)")
+
+
+@register("range_partitions", f"WITH {_SPAN}, w AS (SELECT lo, hi, least({4 * THREADS}, hi - lo + 1) AS np FROM s), v AS (SELECT lo, np, greatest(1, (hi - lo + 1) // np) AS width FROM w) SELECT CAST(least((key - lo) // width, np - 1) AS INT) AS part, count(*) AS n, CAST(sum(val) AS BIGINT) AS total FROM t, v GROUP BY 1")
+def _ranges(spark, d):
+    return partitioning.range_partitions(_skewed(spark, d), THREADS)
+
+
+@register("density_histogram", f"WITH {_BUCKETS} SELECT bucket, lo, hi, n FROM h")
+def _histogram(spark, d):
+    return partitioning.density_histogram(_skewed(spark, d), THREADS)
+
+
+def _size_sql(small: str, large: str) -> str:
+    return f"CASE WHEN n / (hi - lo) >= 8 THEN {small} WHEN n / (hi - lo) <= 1 THEN {large} ELSE least(greatest(CAST(round({small} + (8 - n / (hi - lo)) / 7 * ({large} - {small})) AS BIGINT), {small}), {large}) END"
+
+
+@register("adaptive_sizes", f"WITH {_BUCKETS} SELECT bucket, n, hi - lo AS keys, CAST({_size_sql('2', '12')} AS BIGINT) AS size FROM h")
+def _sizes(spark, d):
+    return partitioning.adaptive_sizes(partitioning.density_histogram(_skewed(spark, d), THREADS), 2, 12)
+
+
+_ADAPTIVE_SQL = f"""
+    WITH RECURSIVE {_BUCKETS}, z AS (SELECT lo AS klo, hi AS khi, greatest((hi - lo + 1) // {8 * THREADS}, 1) AS small, greatest((hi - lo + 1) // {THREADS}, 1) AS large FROM s),
+    b AS (SELECT bucket, lo, hi, {_size_sql('small', 'large')} AS size FROM h, z),
+    f AS (SELECT -1 AS bucket, klo AS start, CAST(NULL AS BIGINT) AS cut FROM z
+          UNION ALL SELECT b.bucket, CASE WHEN b.hi - f.start >= b.size THEN b.lo ELSE f.start END, CASE WHEN b.hi - f.start >= b.size AND b.lo > f.start THEN b.lo END FROM f JOIN b ON b.bucket = f.bucket + 1),
+    e AS (SELECT klo AS lo FROM z UNION SELECT cut FROM f WHERE cut IS NOT NULL),
+    q AS (SELECT CAST(row_number() OVER (ORDER BY e.lo) - 1 AS INT) AS part, e.lo, coalesce(lead(e.lo) OVER (ORDER BY e.lo), khi + 1) AS hi FROM e, z)
+    SELECT part, q.lo, q.hi, count(key) AS n, CAST(sum(val) AS BIGINT) AS total FROM q LEFT JOIN t ON key >= q.lo AND key < q.hi GROUP BY 1, 2, 3"""
+
+
+@register("adaptive_partitions", _ADAPTIVE_SQL)
+def _adaptive_partitions(spark, d):
+    return partitioning.adaptive_partitions(_skewed(spark, d), THREADS)
+
+
+# --- selection bitmaps -----------------------------------------------------------------------
+def _bits(spark: SparkSession, d: str, where: str) -> DataFrame:
+    events = table(spark, d, "events").filter(where)
+    return bitmap.from_positions(events, batch_of("event_id"), F.col("event_id") % BATCH_ROWS)
+
+
+def _words_sql(where: str, pos: str = "pos") -> str:
+    rows = f"(SELECT event_id // {BATCH_ROWS} AS batch_id, event_id % {BATCH_ROWS} AS pos, * FROM events) e"
+    return f"SELECT batch_id, {pos} // 32 AS word_id, bit_or(CAST(1 AS BIGINT) << CAST({pos} % 32 AS BIGINT)) AS word FROM {rows} WHERE {where} GROUP BY 1, 2"
+
+
+_A, _B = "user_id > 70", "event_type = 'click' OR user_id < 90"
+
+
+@register("bitmap_words", _words_sql(_A))
+def _words(spark, d):
+    return _bits(spark, d, _A)
+
+
+@register("bitmap_popcount", f"SELECT event_id // {BATCH_ROWS} AS batch_id, count(*) AS n FROM events WHERE {_A} GROUP BY 1")
+def _popcount(spark, d):
+    return bitmap.popcount(_bits(spark, d, _A))
+
+
+@register("bitmap_positions", f"SELECT event_id // {BATCH_ROWS} AS batch_id, event_id % {BATCH_ROWS} AS pos FROM events WHERE {_A}")
+def _positions(spark, d):
+    return bitmap.positions(_bits(spark, d, _A))
+
+
+@register("bitmap_and", _words_sql(f"({_A}) AND ({_B})"))
+def _and(spark, d):
+    return bitmap.both(_bits(spark, d, _A), _bits(spark, d, _B))
+
+
+@register("bitmap_or", _words_sql(f"({_A}) OR ({_B})"))
+def _or(spark, d):
+    return bitmap.either(_bits(spark, d, _A), _bits(spark, d, _B))
+
+
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").filter(f"event_id < {BATCH_ROWS}").select(batch_of("event_id").alias("batch_id"))
+
+
+@register("bitmap_not", f"SELECT CAST(0 AS BIGINT) AS batch_id, p // 32 AS word_id, bit_or(CAST(1 AS BIGINT) << CAST(p % 32 AS BIGINT)) AS word FROM (SELECT unnest(range({BATCH_ROWS})) AS p) r WHERE p NOT IN (SELECT event_id FROM events WHERE {_A}) GROUP BY 2")
+def _not(spark, d):
+    first = _bits(spark, d, f"event_id < {BATCH_ROWS} AND ({_A})")
+    return bitmap.complement(first, _batches(spark, d), BATCH_ROWS)
+
+
+@register("bitmap_all", f"SELECT CAST(0 AS BIGINT) AS batch_id, CAST({BATCH_ROWS} AS BIGINT) AS n")
+def _all(spark, d):
+    return bitmap.popcount(bitmap.all_set(_batches(spark, d), BATCH_ROWS))
+
+
+@register("bitmap_shl", _words_sql(f"({_A}) AND pos + 37 < {BATCH_ROWS}", "(pos + 37)"))
+def _shl(spark, d):
+    return bitmap.shifted(_bits(spark, d, _A), 37, BATCH_ROWS)
+
+
+@register("bitmap_shr", _words_sql(f"({_A}) AND pos >= 37", "(pos - 37)"))
+def _shr(spark, d):
+    return bitmap.shifted(_bits(spark, d, _A), -37, BATCH_ROWS)
+
+
+@register("bitmap_shift_out", "SELECT CAST(0 AS BIGINT) AS n")
+def _shift_out(spark, d):
+    return bitmap.shifted(_bits(spark, d, _A), BATCH_ROWS, BATCH_ROWS).agg(F.count("*").alias("n"))
+
+
+@register("bitmap_set_clear", _words_sql(f"event_id < {BATCH_ROWS} AND (({_A}) AND event_id <> 64 OR event_id = 63)"))
+def _set_clear(spark, d):
+    first = _bits(spark, d, f"event_id < {BATCH_ROWS} AND ({_A})")
+    return bitmap.with_bit(bitmap.with_bit(first, 0, 63), 0, 64, on=False)
+
+
+# --- membership ------------------------------------------------------------------------------
+_SHAPE_RATE = 0.01
+
+
+def _bloom(spark: SparkSession, d: str) -> tuple[DataFrame, membership.BloomShape]:
+    keys = table(spark, d, "orders").filter("o_orderkey % 10 = 0")
+    shape = membership.BloomShape.of(keys.count(), _SHAPE_RATE)
+    return membership.bloom_build(keys, "o_orderkey", shape), shape
+
+
+@register("bloom_no_false_negatives", "SELECT count(*) AS probes, CAST(0 AS BIGINT) AS misses FROM orders WHERE o_orderkey % 10 = 0")
+def _no_misses(spark, d):
+    words, shape = _bloom(spark, d)
+    probe = membership.bloom_probe(table(spark, d, "orders").filter("o_orderkey % 10 = 0"), "o_orderkey", words, shape)
+    return probe.agg(F.count("*").alias("probes"), F.count_if(~F.col("maybe")).alias("misses"))
+
+
+@register("bloom_false_positive_rate", "SELECT TRUE AS under_five_percent")
+def _false_positives(spark, d):
+    words, shape = _bloom(spark, d)
+    probe = membership.bloom_probe(table(spark, d, "orders").filter("o_orderkey % 10 <> 0"), "o_orderkey", words, shape)
+    return probe.agg((F.count_if("maybe") < 0.05 * F.count("*")).alias("under_five_percent"))
+
+
+@register("bloom_semi_filter", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0)")
+def _bloom_semi(spark, d):
+    words, shape = _bloom(spark, d)
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    maybe = membership.bloom_probe(lines, "l_orderkey", words, shape).filter("maybe").select(F.col("key").alias("l_orderkey"))
+    exact = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    return lines.join(maybe, "l_orderkey", "left_semi").join(exact, "l_orderkey", "left_semi")
+
+
+@register("in_list_long", "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey < 14000")
+def _in_long(spark, d):
+    return membership.in_list(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", list(range(0, 14000, 7)))
+
+
+# --- measurement -----------------------------------------------------------------------------
+_POINTS_SQL = ", ".join(f"quantile_disc(value, {q}) AS {name}" for name, q in profile.POINTS.items())
 
 
-def _threshold_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return t.filter(F.col("l_quantity") > 25).groupBy(F.col("l_suppkey").alias("key")).agg(F.sum(F.col("l_quantity").cast("long")).alias("total"))
+@register("latency_quantiles", f"SELECT event_type, count(value) AS n, {_POINTS_SQL}, max(value) AS max FROM events GROUP BY 1")
+def _latency(spark, d):
+    return profile.latency_report(table(spark, d, "events"), "value", ["event_type"])
 
 
-QUERIES["threshold_sum"] = _threshold_sum
-ORACLE_SQL["threshold_sum"] = "SELECT l_suppkey AS key, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem WHERE l_quantity > 25 GROUP BY 1"
+@register("observed_counts", "SELECT count(*) AS rows_read, CAST(count(*) FILTER (l_quantity > 25) AS BIGINT) AS rows_passed FROM lineitem")
+def _observed(spark, d):
+    rows, watch = profile.observed(_items(spark, d), "scan", rows_read=F.count("*"), rows_passed=F.count_if(F.col("val") > 25))
+    agg.threshold_sum(rows, 25).write.format("noop").mode("overwrite").save()
+    got = watch.get
+    return spark.createDataFrame([(got["rows_read"], got["rows_passed"])], "rows_read long, rows_passed long")

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.operators.aggregate import threshold_sum
 
@@ -18,10 +17,18 @@ def stream_sum(spark: SparkSession, path: str, key: Column, val: Column, thresho
     end it. State grows with the number of keys. The result table is complete.
     """
     schema = spark.read.parquet(path).schema
-    name = f"stream_{uuid.uuid4().hex}"
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
+    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    files = f"{path[:-1]}[{path[-1]}]"  # as a pattern, so that one file is a source as well as a folder
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(files)
     sums = threshold_sum(rows.select(key.cast("long").alias("key"), val.cast("long").alias("val")), threshold)
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
-    query = sums.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{root}/{name}").trigger(availableNow=True).start()
+    done: list[str] = []
+
+    def keep(df: DataFrame, batch: int) -> None:
+        """Each trigger writes the whole result anew; a repeated trigger overwrites its own."""
+        df.write.mode("overwrite").parquet(f"{folder}/{batch}")
+        done.append(f"{folder}/{batch}")
+
+    query = sums.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).select("key", F.col("total"))
+    return spark.read.parquet(done[-1]) if done else spark.createDataFrame([], "key long, total long")

@@ -275,10 +275,10 @@ def _prune_scan(spark, d):
     return p.select(pruning.scan_unpruned(orders, batch_of("o_orderkey"), _zones(spark, d), node, _O).select(*_O), node)
 
 
-@register("prune_never", "SELECT count(*) AS batches, CAST(0 AS BIGINT) AS pruned FROM (SELECT DISTINCT event_id // 2048 AS b FROM events) t")
+@register("prune_never", "SELECT count(*) AS batches, CAST(count(*) FILTER (top <= 0) AS BIGINT) AS pruned FROM (SELECT event_id // 2048 AS b, max(user_id) AS top FROM events GROUP BY 1) t")
 def _prune_never(spark, d):
     zones = pruning.zone_map(table(spark, d, "events"), batch_of("event_id"), ["user_id"])
-    return zones.agg(F.count("*").alias("batches"), F.count_if(pruning.prunable(_op(">", _C0, 20), ["user_id"])).alias("pruned"))
+    return zones.agg(F.count("*").alias("batches"), F.count_if(pruning.prunable(_op(">", _C0, 0), ["user_id"])).alias("pruned"))
 
 
 # --- key ranges ------------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 """Toxicity: a character n-gram linear classifier on naive Bayes log-count ratios.
 
-A text's features are the character 3-, 4- and 5-grams it holds, in lower case
+A text's features are the character 4-, 5- and 6-grams it holds, in lower case
 and with white space as single spaces, hashed to ``BUCKETS``. Each feature is
 scaled by the log ratio of its smoothed rates in toxic and other texts; logistic
 regression with an L2 penalty weighs the scaled features. Only features whose
@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import importable, written
 from tessera.llm.simple8b import text_batches
 
-SIZES = (3, 4, 5)
+SIZES = (4, 5, 6)
 BITS = 20
 BUCKETS = 1 << BITS
 #: Labelled rows of each label that the model may be fitted on.
-PER_CLASS = 6000
+PER_CLASS = 4000
 #: Features in the model, and how many standard errors their log ratio must be from 0.
 FEATURES = 16_384
-STANDS_OUT = 3.5
+STANDS_OUT = 3.0
 SMOOTHING = 1.0
 PENALTY = 3e-4
 STEPS = 250
@@ -156,10 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
                 at += len(held)
 
     rows = texts.select("doc_id", "text", "toxic").mapInArrow(features, "doc_id long, toxic int, features binary").orderBy("doc_id", "features").collect()  # the bounded sample
-    columns = [np.frombuffer(r.features, "<u2").astype(np.int64) for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
-    column = np.concatenate(columns)
     y = np.array([r.toxic for r in rows], float)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.features) // 2 for r in rows])
+    column = np.frombuffer(b"".join(r.features for r in rows), "<u2")
+    del rows
     weight = np.where(y == 1, totals[1] / sizes[1], totals[0] / sizes[0])
     w, b = logistic(row, column, scale, y, weight / weight.sum())
     weights = np.zeros(BUCKETS, np.float32)

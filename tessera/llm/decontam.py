@@ -20,9 +20,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import unused
+
 #: Word positions under each mask (a substitution in every fifth word leaves hits of each).
 MASKS = ((0, 1, 3, 5, 6, 8), (0, 2, 4, 5, 7, 9), (0, 1, 2, 5, 6, 7))
 SPAN = 1 + max(max(m) for m in MASKS)
+SHORTEST = 1 + min(max(m) for m in MASKS)
 WINDOW = 13
 SIMILARITY = 0.8
 #: Shorter items are not searched for; items between this and SPAN words must be found whole.
@@ -41,7 +44,10 @@ def word_hashes(text: Column) -> Column:
 
 
 def seed_keys(h: Column, i: Column, short: list[int]) -> list[Column]:
-    """The hash under each mask at position i, and of each whole run of a ``short`` length."""
+    """The hash under each mask at position i, and of each whole run of a ``short`` length.
+
+    Near a text's end a mask may not fit; its hash is then one of fewer words, which the benchmark does not hold.
+    """
     keys = [F.xxhash64(F.lit(k), *[F.get(h, i + o) for o in mask]) for k, mask in enumerate(MASKS)]
     return keys + [F.xxhash64(F.lit(-n), *[F.get(h, i + o) for o in range(n)]) for n in short]
 
@@ -57,7 +63,7 @@ def benchmark_seeds(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     """key, item_id, and around: the item's words from BEFORE words before the seed on; the short lengths."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("h")).filter(F.size("h") >= LEAST_WORDS).distinct()
     short = sorted(r.n for r in items.filter(F.size("h") < SPAN).select(F.size("h").alias("n")).distinct().collect())  # under SPAN numbers
-    rows = positions(items, min(short, default=SPAN))
+    rows = positions(items, min([SHORTEST, *short]))
     n, i = F.size("h"), F.col("i")
     masked = [F.when(n - i > max(mask), key) for mask, key in zip(MASKS, seed_keys(F.col("h"), i, []), strict=True)]
     whole = [F.when((n == k) & (i == 0), key) for k, key in zip(short, seed_keys(F.col("h"), i, short)[len(MASKS) :], strict=True)]
@@ -90,9 +96,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seeds_at_once: int = SE
     tables give no rows. Repeated items count once; further columns are ignored.
     """
     seeds, short = benchmark_seeds(benchmark)
-    least = min(short, default=SPAN)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("h"))
-    at = positions(read, least).select("doc_id", "h", "i", F.explode(F.array(*seed_keys(F.col("h"), F.col("i"), short))).alias("key"))
+    at = positions(read, min([SHORTEST, *short])).select("doc_id", "h", "i", F.explode(F.array(*seed_keys(F.col("h"), F.col("i"), short))).alias("key"))
     blocks = max(1, math.ceil(seeds.count() / seeds_at_once))
     found = []
     for b in range(blocks):
@@ -108,6 +113,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seeds_at_once: int = SE
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that share no passage with the benchmark, all columns as they were."""
-    bad = contamination(docs, benchmark).select("doc_id").distinct().withColumnRenamed("doc_id", "bad_id")
-    key = F.col("doc_id").cast("long")
-    return docs.join(bad, key.eqNullSafe(F.col("bad_id")), "left_anti")
+    name = unused(docs, "bad_id")
+    bad = contamination(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import importable, written
+from tessera.llm.common import importable, unused, written
 from tessera.llm.simple8b import text_batches
 
 WORDS = 5
@@ -438,5 +438,6 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Rows without a doc_id stay only if their whole class has none.
     """
-    found = ngram_join(docs, threshold=threshold).filter("doc_id <=> class_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
+    name = unused(docs, "keep_id")
+    found = ngram_join(docs, threshold=threshold).filter("doc_id <=> class_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
-from tessera.llm.decontam import contamination
+from tessera.llm.decontam import BEFORE, MASKS, SIMILARITY, SPAN, WINDOW, contamination
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.html_graph import extract
 from tessera.llm.line_dedup import line_digest
@@ -77,7 +79,35 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
+_MASKED = " ".join(f"WHEN {k} THEN [{', '.join(f'w[i + {o}]' for o in mask)}]" for k, mask in enumerate(MASKS))
+_SPANS = f"[{', '.join(str(max(mask)) for mask in MASKS)}]"
+_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+
 ORACLE_SQL = {
+    # for items of at least SPAN words, as all of the test tables' items are
+    "op7_decontamination": f"""
+        WITH b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark),
+             d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+             bp AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM b WHERE len(w) >= {SPAN}),
+             dp AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+             m AS (SELECT unnest(range({len(MASKS)})) AS k),
+             bk AS (SELECT item_id, w AS bw, i AS j, k, CASE k {_MASKED} END AS key FROM bp, m WHERE i + {_SPANS}[k + 1] <= len(w)),
+             dk AS (SELECT r, doc_id, i, k, CASE k {_MASKED} END AS key FROM dp, m WHERE i + {_SPANS}[k + 1] <= len(w)),
+             h AS (SELECT dk.doc_id, d.w AS dw, bw, item_id, i, j FROM dk JOIN bk USING (k, key) JOIN d USING (r)),
+             f AS (SELECT doc_id, item_id, list_transform(range(-{BEFORE}, {WINDOW}), lambda x: CASE WHEN i + x >= 1 AND j + x >= 1 AND dw[i + x] = bw[j + x] THEN 1 ELSE 0 END) AS same FROM h),
+             g AS (SELECT doc_id, item_id, list_max(list_transform(range(1, {BEFORE + 2}), lambda s: list_sum(same[s:s + {WINDOW - 1}]))) AS agreeing FROM f)
+        SELECT doc_id, item_id, count(*) AS n_hits, CAST(max(agreeing) AS INTEGER) AS agreeing FROM g WHERE agreeing >= {math.ceil(WINDOW * SIMILARITY)} GROUP BY 1, 2""",
+    "op9_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+             g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0) p),
+             n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+             p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_n FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+             l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE both_n >= 0.8 * (nx.n + ny.n - both_n)
+                   UNION SELECT a.doc_id, b.doc_id FROM w a JOIN w b ON a.w = b.w AND a.doc_id <> b.doc_id),
+             c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, l.y FROM c JOIN l ON l.x = c.b),
+             k AS (SELECT a AS doc_id, min(b) AS class_id, count(*) AS class_size FROM c GROUP BY 1),
+             q AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY 1)
+        SELECT doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN q USING (doc_id)""",
     "op6_tool_calls": """
         WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
              a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' AND turn >= 1),

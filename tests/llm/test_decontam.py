@@ -25,10 +25,9 @@ def brute(docs, items):
                     if j + max(mask) < len(w):
                         keys[(k, tuple(w[j + o] for o in mask))].add((i, w, j))
     out = defaultdict(lambda: [0, 0])
-    least = min(short, default=dc.SPAN)
     for d, t in docs:
         w = words(t)
-        for p in range(len(w) - least + 1):
+        for p in range(len(w)):
             cand = [(k, tuple(w[p + o] for o in mask)) for k, mask in enumerate(dc.MASKS) if p + max(mask) < len(w)]
             cand += [(-n, tuple(w[p : p + n])) for n in short if p + n <= len(w)]
             for c in cand:
@@ -64,7 +63,7 @@ def corpus():
 
 def test_same_as_brute_force(spark):
     docs, items = corpus()
-    d = spark.createDataFrame([Row(doc_id=a, text=b, item_id="clash", key=1, h=2) for a, b in docs], "doc_id long, text string, item_id string, key int, h int")
+    d = spark.createDataFrame([Row(doc_id=a, text=b, item_id="clash", key=1, bad_id=2) for a, b in docs], "doc_id long, text string, item_id string, key int, bad_id int")
     b = spark.createDataFrame([Row(item_id=a, text=t, doc_id="clash") for a, t in items], "item_id long, text string, doc_id string")
     want = brute(docs, items)
     assert len(want) > 30
@@ -77,6 +76,13 @@ def test_same_as_brute_force(spark):
     assert dc.contamination(d.limit(0), b).collect() == [] and dc.contamination(d, b.limit(0)).collect() == []
 
 
+def test_same_as_brute_force_without_short_items(spark):
+    docs, items = corpus()
+    items = [x for x in items if len(words(x[1])) >= dc.SPAN]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((tuple(x) for x in dc.contamination(d, b).collect()), key=str) == brute(docs, items)
+
+
 def test_substitutions(spark):
     item = [f"a{k}" for k in range(26)]
     every5 = [x if k % 5 else "zz" for k, x in enumerate(item)]

@@ -68,7 +68,7 @@ def corpus(seed):
 def test_same_as_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(nj, "BLOCK_TEXTS", block)
     data = corpus(seed)
-    df = spark.createDataFrame([(d, t, "clash") for d, t in data], "doc_id long, text string, node string").repartition(3)
+    df = spark.createDataFrame([(d, t, "clash") for d, t in data], "doc_id long, text string, keep_id string").repartition(3)
     got = sorted((tuple(x) for x in nj.ngram_join(df).collect()), key=str)
     assert got == brute(data)
     assert max(g[2] for g in got) > 20

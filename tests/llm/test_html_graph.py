@@ -37,7 +37,7 @@ def test_messages_are_exact(model):
     for labels in itertools.product((0, 1), repeat=len(scores)):
         p = math.exp(sum(s for s, x in zip(scores, labels) if x))
         for k in range(1, len(scores)):
-            p *= model.edges[hg.KINDS.get(page.tags[k], 0)][2 * labels[page.parents[k]] + labels[k]]
+            p *= model.edges[hg.edge_kinds(page)[k]][2 * labels[page.parents[k]] + labels[k]]
         total += p
         for k, x in enumerate(labels):
             weight[k] += p * x
@@ -52,6 +52,16 @@ def test_parse():
     assert len(deep.tags) == 20001
 
 
+@pytest.mark.parametrize("source,want", [
+    ("<html><body><h1>Plain</h1><p>Only paragraphs without any container here.</p><p>Another one.</p></body></html>", "Plain|Only paragraphs without any container here.|Another one."),
+    ("<body><div id=header>Site</div><div id=menu><a href=a>A</a> <a href=b>B</a></div><div id=content><h1>Title here</h1><p>First para of text is here.</p></div><div id=sidebar><p>About the author.</p></div><div id=footer>Copyright</div>", "Title here|First para of text is here."),
+    ("<body><article><h1>T</h1><p>Alpha beta.<pre>code  here</pre><p>Gamma</article><div class=comments><p>nice</p></div><div class=cookie>Cookies!</div><form><p>Search</p></form><footer>f</footer>", "T|Alpha beta.|code here|Gamma"),
+    ("<body><nav><ul><li><a href=x>x</a></ul></nav><footer>y</footer>", ""),
+])
+def test_common_layouts(model, source, want):
+    assert hg.main_text(source, model) == want.replace("|", "\n\n")
+
+
 def truth(source):
     body = re.search(r"<article>(.*?)(</article>|\Z)", source, re.S)
     if not body:

@@ -163,16 +163,16 @@ def _bucket(word: str) -> int:
 
 
 @lru_cache(maxsize=50_000)
-def _element(tag: str, attrs: str) -> tuple[int, ...]:
-    """Features of a tag and its class, id and role words."""
-    words = {"t:" + tag}
+def _element(tag: str, attrs: str, place: str) -> tuple[int, ...]:
+    """Features of a tag and its class, id and role words, as the node's own or an ancestor's."""
+    words = {f"{place}t:{tag}"}
     for _, a, b, c in _ATTR.findall(attrs):
-        words |= {"w:" + w for w in _PART.findall(_CAMEL.sub(" ", a or b or c).lower())}
+        words |= {f"{place}w:{w}" for w in _PART.findall(_CAMEL.sub(" ", a or b or c).lower())}
     return tuple(sorted({_bucket(w) for w in words}))
 
 
 def features(page: Page) -> list[tuple[int, ...]]:
-    """Buckets of each node's features: its element, and the size, links and form of the text it holds itself."""
+    """Buckets of each node's features: its element, its parent's and grandparent's, and its own text's size, links and form."""
     n = len(page.tags)
     chars, links, ends, marks = [0] * n, [0] * n, [0] * n, [0] * n
     for node, text, linked in page.blocks:
@@ -182,7 +182,11 @@ def features(page: Page) -> list[tuple[int, ...]]:
         marks[node] += "©" in text
     out = []
     for k in range(n):
-        own = list(_element(page.tags[k], page.attrs[k]))
+        own, at = [], k
+        for place in ("", "p", "g"):
+            own += _element(page.tags[at], page.attrs[at], place)
+            if (at := page.parents[at]) < 0:
+                break
         if not chars[k]:
             own.append(_bucket("x:none"))
         else:
@@ -206,6 +210,10 @@ def edge_kinds(page: Page) -> list[int]:
     return [(t in TEXTS) + 2 * (page.tags[p] in ROOTS) for t, p in zip(page.tags, page.parents, strict=True)]
 
 
+#: Power of the edge potentials: node features know of ancestors too, and evidence should count once.
+TEMPER = 0.5
+
+
 class Model(NamedTuple):
     weights: list[float]  # by bucket
     intercept: float
@@ -295,11 +303,17 @@ class Grammar:
             self.html.append(self.tag(name, True, ARTICLE if name in ("div", "section") or r.random() < 0.3 else ""))
             wrap.append(name)
         if r.random() < 0.8:
+            inside = r.random() < 0.4 and bool(wrap)  # a title may stand in a header of the article's own
+            if inside:
+                self.html.append(self.tag("header", True, r.choice(["", "entryheader posthead articleheader title"])))
             self.put("h1", True, self.sentence(2, 14))
-        for _ in range(r.choice([0, 1, 2, 3, 5, 8, 14])):
+            if inside:
+                self.html.append("</header>")
+        brief = r.random() < 0.05  # verse, chat, lists of names: many short paragraphs
+        for _ in range(r.choice([0, 1, 2, 3, 5, 8, 14]) if not brief else r.choice([3, 10, 25, 60])):
             kind = r.random()
-            if kind < 0.72:
-                inner = self.sentence(1, 90)
+            if kind < 0.72 or brief:
+                inner = self.sentence(1, 4 if brief else 90)
                 style = r.random()
                 if style < 0.2:
                     inner = f"<b>{inner}<br>"
@@ -310,13 +324,13 @@ class Grammar:
                 self.put(r.choice(["h2", "h3", "h4"]), True, self.sentence(1, 9))
             elif kind < 0.86:
                 self.put(r.choice(["blockquote", "pre", "div"]), True, self.sentence(4, 50))
-            elif kind < 0.92:
+            elif kind < 0.89:
                 name = r.choice(["ul", "ol"])
                 self.html.append(self.tag(name, True))
                 for _ in range(r.randint(1, 5)):
                     self.put("li", True, self.sentence(2, 25), close=r.random() < 0.7)
                 self.html.append(f"</{name}>")
-            elif kind < 0.95:
+            elif kind < 0.91:
                 self.html.append(self.tag("table", True))
                 for _ in range(r.randint(1, 4)):
                     self.html.append(self.tag("tr", True))
@@ -324,12 +338,12 @@ class Grammar:
                         self.put("td", True, self.words(1, 6))
                     self.html.append("</tr>")
                 self.html.append("</table>")
-            elif kind < 0.97:
+            elif kind < 0.93:
                 self.html.append(self.tag("figure", True) + '<img src="x.jpg">')
                 self.put("figcaption", True, self.sentence(3, 15))
                 self.html.append("</figure>")
             else:
-                self.region(r.choice(["advert", "share", "notice", "sidebar", "form", "menu"]))
+                self.region(r.choice(["advert", "advert", "share", "notice", "sidebar", "form", "menu"]))
         if r.random() < 0.15:
             self.region(r.choice(["comments", "share", "sidebar"]))
         if r.random() < 0.9:
@@ -402,7 +416,7 @@ def labelled_pages(seed: int, n: int) -> list[tuple[Page, list[bool], str]]:
     return found
 
 
-def train(seed: int = 1, pages: int = 500, steps: int = 150, penalty: float = 2e-4) -> Model:
+def train(seed: int = 1, pages: int = 800, steps: int = 250, penalty: float = 1e-5) -> Model:
     """Fit node and edge potentials to labelled pages."""
     drawn = labelled_pages(seed, pages)
     nodes = [f for page, _, _ in drawn for f in features(page)]
@@ -426,7 +440,8 @@ def train(seed: int = 1, pages: int = 500, steps: int = 150, penalty: float = 2e
     edges = []
     for kind in range(4):
         usual = met[kind % 2 :: 2].sum(axis=(0, 1))  # labels of such children under any parent
-        edges.append(tuple((met[kind] / met[kind].sum(axis=1, keepdims=True) / (usual / usual.sum())).ravel().tolist()))
+        ratio = met[kind] / met[kind].sum(axis=1, keepdims=True) / (usual / usual.sum())
+        edges.append(tuple((ratio**TEMPER).ravel().tolist()))
     return Model(w.tolist(), b, edges)
 
 

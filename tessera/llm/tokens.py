@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
 
 #: Units in a worker's cache; a full one makes way, but for what is used again. This changes nothing but speed.
-CACHED_UNITS = 700_000
-#: Cached pre-tokens of new units, likewise.
-CACHED_WORDS = 150_000
+CACHED_UNITS = 600_000
 #: Longer units are not kept.
 LONGEST_UNIT = 64
 
@@ -71,49 +70,42 @@ class UnitTokenizer:
         parts = parts.get("pretokenizers", [parts])
         pattern = next((p["pattern"]["Regex"] for p in parts if p["type"] == "Split"), _BYTE_LEVEL)
         self.pieces = regex.compile(pattern).findall
-        self.lead = " " if pattern == _BYTE_LEVEL else ""  # the other vocabulary's pattern leaves spaces out
+        self.spaced = pattern == _BYTE_LEVEL  # the other vocabulary's pattern leaves spaces out
         self.normalizer = self.tokenizer.normalizer
         self.tokenize = self.tokenizer.model.tokenize
+        self.first = self.later = None
         self._reset()
 
     def _reset(self) -> None:
         """Start an empty cache and keep the one before it as the older one."""
-        self.old_flat, self.old_starts, self.old_counts = getattr(self, "flat", None), getattr(self, "starts", None), getattr(self, "counts", None)
-        before = [self.first, self.later] if self.old_flat is not None else [{}, {}]
-        for index in before if self.old_flat is not None else []:
+        old = (self.first, self.later) if self.first is not None else ({}, {})
+        for index in old if self.first is not None else ():
             index.older = {}
-        self.first, self.later = _Index(self, "", before[0]), _Index(self, " ", before[1])
-        self.words: dict[str, list[int]] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
-        self.starts = np.zeros(1 << 14, dtype=np.int32)
-        self.counts = np.zeros(1 << 14, dtype=np.int32)
-        self.bordered = np.zeros(1 << 14, dtype=bool)  # units that are empty, or begin or end with white space
-        self.units = 0
-
-    def split(self, unit: str) -> list[str]:
-        """The pre-tokens of a unit. Letters with at most one mark after them need no pattern."""
-        if (plain := _PLAIN(unit)) is None:
-            return self.pieces(unit)
-        word, mark = plain.groups()
-        if word[0] == " ":
-            word = self.lead + word[1:]
-        return [word, mark] if mark else [word]
-
-    def ids(self, unit: str) -> list[int]:
-        """The ids of a unit, one pre-token after the other."""
+        self.old_flat, self.old_starts, self.old_counts = (self.flat, self.starts, self.counts) if self.first is not None else (None, None, None)
+        self.first = _Index(self, "", old[0])
+        self.later = _Index(self, " ", old[1]) if self.spaced else self.first
+        self.flat, self.starts, self.counts, self.bordered = array("I"), array("i"), array("i"), array("b")
+
+    def ids(self, unit: str) -> Sequence[int]:
+        """The ids of a unit: of its only pre-token, or those of its pre-tokens as units, one after the other."""
         if self.normalizer is not None:
             unit = self.normalizer.normalize_str(unit)
-        out: list[int] = []
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        for piece in self.split(unit):
-            if (got := self.words.get(piece)) is None:
-                chars = piece.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS) if _ODD(piece, 1 if piece[0] == " " else 0) else piece
-                got = [t.id for t in self.tokenize("Ġ" + chars[1:] if chars[0] == " " else chars)]
-                if len(piece) <= LONGEST_UNIT:
-                    self.words[piece] = got
-            out += got
+        if (plain := _PLAIN(unit)) is not None:
+            word, mark = plain.groups()
+            if not self.spaced:
+                word = word.lstrip(" ")
+            pieces = (word, mark) if mark else (word,)
+        else:
+            pieces = self.pieces(unit)
+        if len(pieces) == 1:
+            piece = pieces[0]
+            chars = piece.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS) if _ODD(piece, 1 if piece[0] == " " else 0) else piece
+            return [t.id for t in self.tokenize("Ġ" + chars[1:] if chars[0] == " " else chars)]
+        out = array("I")
+        for piece in pieces:
+            k = self.later[piece[1:]] if piece[0] == " " and self.spaced else self.first[piece]
+            start = self.starts[k]
+            out += self.flat[start : start + self.counts[k]]
         return out
 
     def again(self, k: int, body: str) -> int:
@@ -125,23 +117,15 @@ class UnitTokenizer:
         return self._keep(self.ids(unit), body)
 
     def _keep(self, got: Sequence[int], body: str) -> int:
-        while self.used + len(got) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if self.units == len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            self.bordered = np.concatenate([self.bordered, np.zeros_like(self.bordered)])
-        self.flat[self.used : self.used + len(got)] = got
-        k = self.units
-        self.starts[k], self.counts[k] = self.used, len(got)
-        if not body or body[0].isspace() or body[-1].isspace():
-            self.bordered[k] = True
-        self.used += len(got)
-        self.units += 1
+        k = len(self.starts)
+        self.starts.append(len(self.flat))
+        self.counts.append(len(got))
+        self.bordered.append(not body or body[0].isspace() or body[-1].isspace())  # empty, or white space at an end
+        self.flat.extend(got)
         return k
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.units > CACHED_UNITS:
+        if len(self.starts) > CACHED_UNITS:
             self._reset()
         first, later = self.first.__getitem__, self.later.__getitem__
 
@@ -154,21 +138,23 @@ class UnitTokenizer:
         rows: list[np.ndarray] = []
         for text in texts:
             found = look(text.split(" "))
-            if self.bordered[found].any():  # a run of white space stays whole: cut only between two other characters
+            if np.frombuffer(self.bordered, np.bool_)[found].any():  # a run of white space stays whole: cut only between two other characters
                 found = look(_CUT.split(text))
             rows.append(found)
         if not rows:
             return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         unit = np.concatenate(rows)
-        counts = self.counts[unit]
+        counts = np.frombuffer(self.counts, np.int32)[unit]
         ends = np.cumsum(counts, dtype=np.int64)
         total = int(ends[-1])
-        at = np.repeat((self.starts[unit] - (ends - counts)).astype(np.int32), counts)
+        if not total:
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(rows), dtype=np.int64)
+        at = np.repeat((np.frombuffer(self.starts, np.int32)[unit] - (ends - counts)).astype(np.int32), counts)
         at += np.arange(total, dtype=np.int32)
         sums = np.concatenate([[0], ends])
         last = np.cumsum([len(r) for r in rows])
         per_text = np.diff(np.concatenate([[0], sums[last]]))
-        return self.flat[at], per_text
+        return np.frombuffer(self.flat, np.uint32)[at], per_text
 
 
 _loaded: dict[str, UnitTokenizer] = {}

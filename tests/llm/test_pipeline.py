@@ -58,3 +58,19 @@ def test_stages_same_as_brute_force(spark, tmp_path):
         assert p.offset == used[p.sequence_id]
         used[p.sequence_id] += p["length"]
     assert max(used.values()) <= 4096 and len(used) <= -(-sum(used.values()) // 4096) + 1
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables are absent")
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    """Nulls, empty and repeated rows, and columns of clashing names pass; an empty table stays empty."""
+    import corpus_pipeline
+
+    rows = [(None, None, None), (1, "", "x"), (1, "", "x"), (2, None, "y"), (3, "some words in a short text", None), (3, "another text under the same id", "z"), (4, "word " * 30_000, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep string").selectExpr("*", "1 AS doc", "2 AS bad_id", "3 AS keep_id", "4 AS id", "5 AS score")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for table in (docs, docs.limit(0)):
+            got = stage(spark, table, SF)
+            n = got.count()
+            assert n == 0 if table is not docs else 0 < n
+            if k < 4:
+                assert got.dtypes == docs.dtypes

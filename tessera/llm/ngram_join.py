@@ -36,8 +36,9 @@ DEPTH = 8
 RECALL = 0.9999
 #: Pairs whose signatures agree in less than THRESHOLD minus this are no candidates (4 standard errors).
 MARGIN = 0.1
-#: Texts, and 5-grams, in a block. A cell is the work of one task, so blocks are small.
+#: Texts, and 5-grams, in a block of a run of the forest and of a group. A cell is the work of one task, so blocks are small.
 BLOCK_TEXTS = 100
+GROUP_TEXTS = 64
 BLOCK_GRAMS = 1_000_000
 #: Candidate ids that may be broadcast to select texts, of 16 bytes each.
 SELECTED = 1_000_000
@@ -59,7 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Grams:
     """Word hashes of texts; a worker keeps those of frequent words."""
 
-    KEPT = 400_000
+    KEPT = 250_000
 
     def __init__(self):
         self.known: dict[str, int] = {}
@@ -321,7 +322,7 @@ def components(links: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     """Exact comparison within candidate groups: rows (a, b, links); b is null in counts, links in the forest."""
     wanted = groups.join(reps.select("node", "id", "n", "copies"), "node")
-    cell = in_cells(wanted, "comp", BLOCK_TEXTS, "n", BLOCK_GRAMS)
+    cell = in_cells(wanted, "comp", GROUP_TEXTS, "n", BLOCK_GRAMS)
     grams = _gram_sets(docs, wanted.select("id", "node"), id_col, text_col)
 
     def compare(i: int, j: int, table):

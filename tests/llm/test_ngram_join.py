@@ -67,6 +67,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,block", [(1, 100), (2, 7)])
 def test_same_as_brute_force(spark, monkeypatch, seed, block):
     monkeypatch.setattr(nj, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(nj, "GROUP_TEXTS", min(block, nj.GROUP_TEXTS))
     data = corpus(seed)
     df = spark.createDataFrame([(d, t, "clash") for d, t in data], "doc_id long, text string, keep_id string").repartition(3)
     got = sorted((tuple(x) for x in nj.ngram_join(df).collect()), key=str)

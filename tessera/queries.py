@@ -442,6 +442,90 @@ def _in_long(spark, d):
     return membership.in_list(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", list(range(0, 14000, 7)))
 
 
+# --- whole tables: the queries above that see fixed ids, without that limit -------------------
+_NATURAL = "o_orderstatus = 'F'"
+_EVERY = "(SELECT CAST(l_partkey AS BIGINT) AS key, CAST(l_quantity AS BIGINT) AS val FROM lineitem)"
+
+
+def _all_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("payload"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("payload"))
+    return orders, lines
+
+
+def _frame(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every batch, and the bits that a row of it stands for: the last batch is short."""
+    return table(spark, d, "events").select(batch_of("event_id").alias("batch_id")), _bits(spark, d, "TRUE")
+
+
+def _natural_bloom(spark: SparkSession, d: str, where: str) -> tuple[DataFrame, membership.BloomShape]:
+    keys = table(spark, d, "orders").filter(where)
+    shape = membership.BloomShape.of(keys.count(), _SHAPE_RATE)
+    return membership.bloom_build(keys, "o_orderkey", shape), shape
+
+
+@register("join_inner_whole", "SELECT o_orderkey AS key, o_custkey AS lp, l_partkey AS rp FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
+def _inner_whole(spark, d):
+    return joins.inner_join(*_all_sides(spark, d))
+
+
+@register("join_left_outer_whole", "SELECT o_orderkey AS key, o_custkey AS lp, l_partkey AS rp FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
+def _left_outer_whole(spark, d):
+    return joins.left_outer_join(*_all_sides(spark, d))
+
+
+@register("threshold_sum_unaligned_whole", _sum_sql("CAST(floor(o_totalprice) AS BIGINT) > 1000", "o_custkey", "orders", "CAST(floor(o_totalprice) AS BIGINT)"))
+def _unaligned_whole(spark, d):
+    return agg.threshold_sum(key_value(table(spark, d, "orders"), "o_custkey", F.floor("o_totalprice")), 1000)
+
+
+@register("bitmap_not_whole", _words_sql(f"NOT coalesce({_A}, FALSE)"))
+def _not_whole(spark, d):
+    batches, rows = _frame(spark, d)
+    return bitmap.both(bitmap.complement(_bits(spark, d, _A), batches, BATCH_ROWS), rows)
+
+
+@register("bitmap_all_whole", f"SELECT event_id // {BATCH_ROWS} AS batch_id, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
+def _all_whole(spark, d):
+    batches, rows = _frame(spark, d)
+    return bitmap.popcount(bitmap.both(bitmap.all_set(batches, BATCH_ROWS), rows))
+
+
+@register("bitmap_set_clear_whole", _words_sql(f"({_A}) AND event_id <> 64 OR event_id = 63"))
+def _set_clear_whole(spark, d):
+    return bitmap.with_bit(bitmap.with_bit(_bits(spark, d, _A), 0, 63), 0, 64, on=False)
+
+
+@register("bloom_no_false_negatives_whole", "SELECT count(DISTINCT o_orderkey) AS probes, CAST(0 AS BIGINT) AS misses FROM orders")
+def _no_misses_whole(spark, d):
+    probe = membership.bloom_probe(table(spark, d, "orders"), "o_orderkey", *_natural_bloom(spark, d, "TRUE"))
+    return probe.agg(F.count("*").alias("probes"), F.count_if(~F.col("maybe")).alias("misses"))
+
+
+@register("bloom_false_positive_rate_whole", "SELECT TRUE AS under_five_percent")
+def _false_positives_whole(spark, d):
+    probe = membership.bloom_probe(table(spark, d, "orders").filter(f"NOT ({_NATURAL})"), "o_orderkey", *_natural_bloom(spark, d, _NATURAL))
+    return probe.agg((F.count_if("maybe") < 0.05 * F.count("*")).alias("under_five_percent"))
+
+
+@register("bloom_semi_filter_whole", f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_NATURAL})")
+def _bloom_semi_whole(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    maybe = membership.bloom_probe(lines, "l_orderkey", *_natural_bloom(spark, d, _NATURAL)).filter("maybe").select(F.col("key").alias("l_orderkey"))
+    exact = table(spark, d, "orders").filter(_NATURAL).select(F.col("o_orderkey").alias("l_orderkey"))
+    return lines.join(maybe, "l_orderkey", "left_semi").join(exact, "l_orderkey", "left_semi")
+
+
+def _over_all(name: str, plan: Callable[[DataFrame], DataFrame]) -> None:
+    register(f"{name}_whole", ORACLE_SQL[name].replace(_PASSING, _EVERY))(lambda spark, d: plan(_items(spark, d, "l_partkey")))
+
+
+_over_all("range_partitions", lambda rows: partitioning.range_partitions(rows, THREADS))
+_over_all("density_histogram", lambda rows: partitioning.density_histogram(rows, THREADS))
+_over_all("adaptive_sizes", lambda rows: partitioning.adaptive_sizes(partitioning.density_histogram(rows, THREADS), 2, 12))
+_over_all("adaptive_partitions", lambda rows: partitioning.adaptive_partitions(rows, THREADS))
+
+
 # --- measurement -----------------------------------------------------------------------------
 _POINTS_SQL = ", ".join(f"quantile_disc(value, {q}) AS {name}" for name, q in profile.POINTS.items())
 

@@ -1,0 +1,35 @@
+import os
+
+import pytest
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables are absent")
+def test_whole_tables_equal_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from tessera.queries import ORACLE_SQL, QUERIES
+
+    db = duckdb.connect()
+    for t in ("orders", "lineitem", "events"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    rows = lambda cols, got: sorted(tuple(str(r[cols.index(c)]) for c in sorted(cols)) for r in got)
+    whole = [name for name in QUERIES if name.endswith("_whole")]
+    assert len(whole) == 13
+    for name in whole:
+        df, want = QUERIES[name](spark, SF), db.sql(ORACLE_SQL[name])
+        assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall()), name
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="test tables are absent")
+def test_nothing_is_left_out(spark):
+    from tessera.functions import bitmap
+    from tessera.queries import QUERIES
+
+    count = lambda t: spark.read.parquet(f"{SF}/{t}.parquet").count()
+    ones = lambda name: bitmap.popcount(QUERIES[name](spark, SF)).agg({"n": "sum"}).first()[0]
+    assert QUERIES["join_inner_whole"](spark, SF).count() == count("lineitem")
+    assert QUERIES["join_left_outer_whole"](spark, SF).select("key").distinct().count() == count("orders")
+    assert ones("bitmap_not_whole") + ones("bitmap_words") == count("events")
+    assert QUERIES["bitmap_all_whole"](spark, SF).agg({"n": "sum"}).first()[0] == count("events")
+    assert QUERIES["density_histogram_whole"](spark, SF).agg({"n": "sum"}).first()[0] == count("lineitem")

@@ -31,8 +31,9 @@ from tessera.llm.common import importable
 
 # Fixed values of HTML: elements without content, with raw text, within a line, and closed by the next of their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp template noscript svg math select button object canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title iframe noembed noframes noscript".split())
+_MATH = "math semantics annotation mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle mpadded mfenced menclose msub msup msubsup munder mover munderover mtable mtr mtd"
+INLINE = frozenset(f"a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr {_MATH}".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {
     "li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
@@ -126,6 +127,15 @@ def parse(source: str) -> Page:
                 stop = re.compile(r"</noscript\b[^>]*>", re.I).search(source, pos)
                 pos = stop.end() if stop else pos
             continue
+        if name == "xmp":  # text as it stands, tags and all
+            stop = re.compile(r"</xmp\b[^>]*(?:>|\Z)", re.I).search(source, pos)
+            end_block()
+            run.append(source[pos : stop.start() if stop else size])
+            end_block()
+            pos = stop.end() if stop else size
+            continue
+        if m[3].rstrip().endswith("/") and (name == "svg" or name in _MATH.split()):
+            continue  # foreign elements may be closed at once
         if name in VOID:
             if name in ("br", "wbr"):
                 run.append(" " if name == "br" else "")

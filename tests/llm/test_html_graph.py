@@ -88,3 +88,15 @@ def test_edges(spark, model):
     got = hg.extract(df, model).collect()
     assert len(got) == 4 and sorted(r.n_chars for r in got)[:3] == [0, 0, 0]
     assert hg.extract(df.limit(0), model).collect() == []
+
+
+def test_only_raw_text_is_skipped(model):
+    blocks = lambda source: [t for _, t, _ in hg.parse(source).blocks]
+    for tag in ("button", "select", "object", "canvas", "audio", "video", "svg", "math", "template"):
+        assert blocks(f"<header><{tag}>x</header><p>one<p>two") == ["x", "one", "two"], tag
+    assert blocks("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be.") == ["Let x=1 be."]
+    assert blocks("a<xmp><b>c</b></xmp>d<svg/>e") == ["a", "<b>c</b>", "de"]
+    assert blocks("a<script>b<p>c</script>d<textarea>e</textarea><style>f") == ["ad"]
+    article = "<article><h1>Title here</h1><p>First para of text is here.</p><p>Second para of text is here.</p></article>"
+    for tag in ("button", "video"):
+        assert hg.main_text(f"<body><header><{tag}></header>{article}<footer>Copyright</footer>", model) == "Title here\n\nFirst para of text is here.\n\nSecond para of text is here."

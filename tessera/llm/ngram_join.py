@@ -4,10 +4,10 @@ Texts are sets of word 5-grams. Documents with the same words in the same order
 are copies of one class and enter once, as a representative. Each representative
 has a signature of min-hashes, and ``TREES`` trees each sort the representatives
 by a row of them: a sorted prefix trie, dealt by ranges, in which texts that
-share a prefix stand next to each other. Starting from the longest, the matched
-prefix is shortened until a pair at the threshold shares one in some tree with
-the target recall. Runs of equal prefixes are candidates; whole signatures thin
-them out, with a margin of several standard errors.
+share a prefix stand next to each other. The matched prefix has one length for
+all data, the longest at which a pair at the threshold shares one in some tree
+with the target recall (``depth_for``). Runs of equal prefixes are candidates;
+whole signatures thin them out, with a margin of several standard errors.
 
 Candidates that hang together form groups, and only their texts are read again.
 A group is cut into blocks and each pair of blocks is a cell of bounded size, in

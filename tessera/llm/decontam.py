@@ -87,32 +87,41 @@ def most_in_a_window(bits: Column) -> Column:
     return F.greatest(*[F.bit_count(F.shiftright(bits, s).bitwiseAND(F.lit((1 << WINDOW) - 1))) for s in range(BEFORE + 1)])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, seeds_at_once: int = SEEDS) -> DataFrame:
-    """doc_id, item_id, n_hits and agreeing, one row for each document and item that share a passage.
-
-    ``n_hits`` counts verified seeds, ``agreeing`` is the most words that agree in
-    a window. Null text has no words; null ids are reported as null, rows of one
-    id together; items of fewer than five words are not searched for. Empty
-    tables give no rows. Repeated items count once; further columns are ignored.
-    """
+def _passages(read: DataFrame, benchmark: DataFrame, names: list[str], seeds_at_once: int) -> DataFrame:
+    """The columns ``names`` of ``read``, item_id, n_hits and agreeing; ``read`` has its words' hashes in h."""
     seeds, short = benchmark_seeds(benchmark)
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("h"))
-    at = positions(read, min([SHORTEST, *short])).select("doc_id", "h", "i", F.explode(F.array(*seed_keys(F.col("h"), F.col("i"), short))).alias("key"))
+    at = positions(read, min([SHORTEST, *short])).select(*names, "h", "i", F.explode(F.array(*seed_keys(F.col("h"), F.col("i"), short))).alias("key"))
     blocks = max(1, math.ceil(seeds.count() / seeds_at_once))
     found = []
     for b in range(blocks):
         own = seeds.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b) if blocks > 1 else seeds
         hits = at.join(F.broadcast(own.select("key", "item_id", "n", "around")), "key")
-        found.append(hits.select("doc_id", "item_id", "n", agreeing_words(F.col("h"), F.col("i"), F.col("around")).alias("bits")))
+        found.append(hits.select(*names, "item_id", "n", agreeing_words(F.col("h"), F.col("i"), F.col("around")).alias("bits")))
     # no filter before the sums: within the join it would make Spark copy h to every position
-    hits = functools.reduce(DataFrame.unionByName, found).select("doc_id", "item_id", "n", most_in_a_window(F.col("bits")).alias("same"))
+    hits = functools.reduce(DataFrame.unionByName, found).select(*names, "item_id", "n", most_in_a_window(F.col("bits")).alias("same"))
     enough = F.when(F.col("n") < SPAN, F.col("n")).otherwise(F.ceil(F.least(F.lit(WINDOW), F.col("n")) * SIMILARITY))
-    sums = hits.groupBy("doc_id", "item_id").agg(F.sum(F.when(F.col("same") >= enough, 1).otherwise(0)).alias("n_hits"), F.max(F.when(F.col("same") >= enough, F.col("same"))).cast("int").alias("agreeing"))
+    sums = hits.groupBy(*names, "item_id").agg(F.sum(F.when(F.col("same") >= enough, 1).otherwise(0)).alias("n_hits"), F.max(F.when(F.col("same") >= enough, F.col("same"))).cast("int").alias("agreeing"))
     return sums.filter("n_hits > 0")
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, seeds_at_once: int = SEEDS) -> DataFrame:
+    """doc_id, item_id, n_hits and agreeing, one row for each document and item that share a passage.
+
+    ``n_hits`` counts verified seeds, ``agreeing`` is the most words that agree in
+    a window. Null text has no words; null ids are reported as null, rows of one
+    id together; items of fewer than five words are not searched for. Empty
+    tables give no rows. Repeated items count once; further columns are ignored.
+    """
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("h"))
+    return _passages(read, benchmark, ["doc_id"], seeds_at_once)
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that share no passage with the benchmark, all columns as they were."""
-    name = unused(docs, "bad_id")
-    bad = contamination(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
+    """The rows of ``docs`` that share no passage with the benchmark, all columns as they were.
+
+    A row is its doc_id and its text, so what another row of the id holds, or of none, doesn't matter.
+    """
+    name, text = unused(docs, "bad_id"), unused(docs, "bad_text")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), word_hashes(F.col("text")).alias("h"))
+    bad = _passages(read, benchmark, ["doc_id", "tag"], SEEDS).select(F.col("doc_id").alias(name), F.col("tag").alias(text)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(text)), "left_anti")

@@ -90,3 +90,12 @@ def test_substitutions(spark):
     d = spark.createDataFrame([(1, " ".join(["q"] * 30 + every5)), (2, " ".join(every3)), (3, " ".join(item[:12])), (4, " ".join(item[7:20]))], "doc_id long, text string")
     b = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
     assert {r.doc_id for r in dc.contamination(d, b).collect()} == {1, 3, 4}
+
+
+def test_rows_not_ids_are_judged(spark):
+    item = " ".join(f"a{k}" for k in range(20))
+    rows = [(None, item), (None, "clean text"), (None, None), (1, f"so {item}"), (1, "another clean text"), (2, "clean text")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(9, item)], "item_id long, text string")
+    left = [tuple(r) for r in dc.decontaminated(d, b).collect()]
+    assert sorted(left, key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table, written
-from tessera.llm.decontam import decontaminated
+from tessera.llm.decontam import without_leaks
 from tessera.llm.line_dedup import line_dedup
 from tessera.llm.ngram_join import one_of_each
 from tessera.llm.packing import pack
@@ -35,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a passage with the benchmark go."""
-    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that share a passage with the benchmark, or hold an item as a whole, go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ for each mask; a join with the hashes of the benchmark finds hits, and each
 hit is verified on the spot: on its diagonal, some window of ``WINDOW`` item
 words that holds the seed must agree in at least ``SIMILARITY`` of its words.
 
+An item is also searched for as a whole, in pieces of which one is free of
+substitutions wherever they fall, and held if ``SIMILARITY`` of all its words agree.
+
 The benchmark side of the join carries the item's words around each seed. It is
 counted, and beyond ``SEEDS`` rows the items are taken in blocks, one pass over the
 documents each, so what is broadcast is bounded and documents never shuffle.
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +34,8 @@ WINDOW = 13
 SIMILARITY = 0.8
 #: Shorter items are not searched for; items between this and SPAN words must be found whole.
 LEAST_WORDS = 5
+#: Words of a piece of an item, one more of which than words may differ.
+PIECES = (2, 3, 4, 5)
 #: Broadcast rows, of about 250 bytes each.
 SEEDS = 200_000
 #: Words beside a seed's first word that windows can reach.
@@ -116,12 +122,74 @@ def contamination(docs: DataFrame, benchmark: DataFrame, seeds_at_once: int = SE
     return _passages(read, benchmark, ["doc_id"], seeds_at_once)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that share no passage with the benchmark, all columns as they were.
+def item_pieces(benchmark: DataFrame) -> DataFrame:
+    """item, item_id, words (of the whole item), n, start, size and key of each piece of each item.
 
-    A row is its doc_id and its text, so what another row of the id holds, or of none, doesn't matter.
+    Of n words, n div 5 may differ; of one piece more than that, one holds no
+    difference wherever they fall. Pieces have 2 to 5 words.
     """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), word_hashes(F.col("text")).alias("words")).filter(F.size("words") >= LEAST_WORDS).distinct()
+    items = items.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", F.size("words").alias("n"))
+    cut = items.select("*", F.explode(F.sequence(F.lit(0), F.expr("n div 5").cast("int"))).alias("k"))
+    cut = cut.withColumn("start", F.expr("k * n div (n div 5 + 1)").cast("int")).withColumn("size", F.expr("(k + 1) * n div (n div 5 + 1)").cast("int") - F.col("start"))
+    return cut.select("item", "item_id", "words", "n", "start", "size", F.coalesce(*[F.when(F.col("size") == size, run_key(F.col("words"), F.col("start"), size)) for size in PIECES]).alias("key"))
+
+
+def run_key(h: Column, i: Column, size: int) -> Column:
+    """The hash of ``size`` words from i on."""
+    return F.xxhash64(F.lit(size), *[F.get(h, i + o) for o in range(size)])
+
+
+def _whole_items(read: DataFrame, benchmark: DataFrame, names: list[str], seeds_at_once: int) -> DataFrame:
+    """``names``, item_id, n_hits and agreeing where SIMILARITY of an item's words agree on one diagonal, wherever the others stand."""
+    pieces = item_pieces(benchmark)
+    counts = {r["size"]: r.n for r in pieces.groupBy("size").agg(F.count("*").alias("n")).collect()}  # of four sizes at most
+    sizes = sorted(counts) or [PIECES[0]]
+    at = positions(read, sizes[0]).select(*names, "h", "i", F.explode(F.array(*[run_key(F.col("h"), F.col("i"), size) for size in sizes])).alias("key"))
+    blocks = max(1, math.ceil(sum(counts.values()) / seeds_at_once))
+    found = []
+    for b in range(blocks):
+        own = pieces.filter(F.pmod("item", F.lit(blocks)) == b) if blocks > 1 else pieces
+        hits = at.join(F.broadcast(own.select("key", "item", "start")), "key").join(F.broadcast(own.select("item", "item_id", "words", "n").distinct()), "item")
+        first = F.col("i") - F.col("start")
+        same = F.size(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda x: F.get(F.col("h"), first + x) == F.get(F.col("words"), x)))
+        found.append(hits.select(*names, "item_id", "n", same.alias("same")))
+    enough = F.col("same") * 5 >= F.col("n") * 4
+    hits = functools.reduce(DataFrame.unionByName, found)
+    sums = hits.groupBy(*names, "item_id").agg(F.sum(F.when(enough, 1).otherwise(0)).alias("n_hits"), F.max(F.when(enough, F.col("same"))).alias("agreeing"))
+    return sums.filter("n_hits > 0")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, seeds_at_once: int = SEEDS) -> DataFrame:
+    """The rows of ``contamination``, and those of documents that hold an item as a whole only.
+
+    An item of five or more words is held if SIMILARITY of all its words agree on
+    one diagonal. ``n_hits`` then counts pieces and ``agreeing`` the item's words.
+    """
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("h"))
+    passages = _passages(read, benchmark, ["doc_id"], seeds_at_once)
+    items = _whole_items(read, benchmark, ["doc_id"], seeds_at_once)
+    both = passages.withColumn("rank", F.lit(0)).unionByName(items.withColumn("rank", F.lit(1)))
+    first = both.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("n_hits", "agreeing"), "rank").alias("f"))
+    return first.select("doc_id", "item_id", "f.n_hits", "f.agreeing")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """As ``decontaminated``, and without the rows that hold an item as a whole."""
+    return _clean(docs, benchmark, lambda read, names: _passages(read, benchmark, names, SEEDS).select(*names).unionByName(_whole_items(read, benchmark, names, SEEDS).select(*names)))
+
+
+def _clean(docs: DataFrame, benchmark: DataFrame, find: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text ``find`` doesn't return."""
     name, text = unused(docs, "bad_id"), unused(docs, "bad_text")
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), word_hashes(F.col("text")).alias("h"))
-    bad = _passages(read, benchmark, ["doc_id", "tag"], SEEDS).select(F.col("doc_id").alias(name), F.col("tag").alias(text)).distinct()
+    bad = find(read, ["doc_id", "tag"]).select(F.col("doc_id").alias(name), F.col("tag").alias(text)).distinct()
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(text)), "left_anti")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that share no passage with the benchmark, all columns as they were.
+
+    A row is its doc_id and its text, so what another row of the id holds, or of none, doesn't matter.
+    """
+    return _clean(docs, benchmark, lambda read, names: _passages(read, benchmark, names, SEEDS))

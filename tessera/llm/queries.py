@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
-from tessera.llm.decontam import BEFORE, MASKS, SIMILARITY, SPAN, WINDOW, contamination
+from tessera.llm.decontam import BEFORE, MASKS, SIMILARITY, SPAN, WINDOW, leaks
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.html_graph import extract
 from tessera.llm.line_dedup import line_digest
@@ -51,7 +51,7 @@ def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,34 @@ def test_rows_not_ids_are_judged(spark):
     b = spark.createDataFrame([(9, item)], "item_id long, text string")
     left = [tuple(r) for r in dc.decontaminated(d, b).collect()]
     assert sorted(left, key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
+def test_whole_items_with_any_fifth_of_words_substituted(spark):
+    import itertools
+
+    r = random.Random(3)
+    docs, want = [], set()
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in (5, 6, 7, 8, 9, 10, 11, 12, 15, 16, 20, 25, 30, 40, 61)]
+    for n, item in items:
+        places = list(itertools.combinations(range(n), n // 5)) if n < 12 else [tuple(r.sample(range(n), n // 5)) for _ in range(40)]
+        for places in places + ([(2, 7, 12)] if n == 15 else []):
+            text = ["zz" if k in places else x for k, x in enumerate(item)]
+            want.add((len(docs), n))
+            docs.append((len(docs), " ".join(["q"] * r.randint(0, 9) + text + ["q"] * r.randint(0, 3))))
+    for n, item in items:
+        if n < 13:  # one word too many
+            docs.append((len(docs), " ".join("zz" if k % 2 else x for k, x in enumerate(item))))
+    docs.append((None, None))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string")
+    for at_once in (dc.SEEDS, 40):
+        got = dc.leaks(d, b, at_once).collect()
+        assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want)
+    assert {x.doc_id for x in dc.without_leaks(d, b).collect()} == {x[0] for x in docs} - {w[0] for w in want}
+    assert {(x.doc_id, x.item_id) for x in dc.contamination(d, b).collect()} < want
+    assert dc.leaks(d.limit(0), b).collect() == [] and dc.leaks(d, b.limit(0)).collect() == []
+
+
+def test_leaks_keep_the_passages(spark):
+    docs, items = corpus()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(x) for x in dc.contamination(d, b).collect()} <= {tuple(x) for x in dc.leaks(d, b).collect()}

@@ -32,7 +32,7 @@ SPAN = 1 + max(max(m) for m in MASKS)
 SHORTEST = 1 + min(max(m) for m in MASKS)
 WINDOW = 13
 SIMILARITY = 0.8
-#: Shorter items are not searched for; items between this and SPAN words must be found whole.
+#: Shorter items are not searched for; seeds find items between this and SPAN words only if all words agree, pieces also otherwise.
 LEAST_WORDS = 5
 #: Words of a piece of an item, one more of which than words may differ.
 PIECES = (2, 3, 4, 5)

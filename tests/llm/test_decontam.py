@@ -130,3 +130,11 @@ def test_leaks_keep_the_passages(spark):
     docs, items = corpus()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {tuple(x) for x in dc.contamination(d, b).collect()} <= {tuple(x) for x in dc.leaks(d, b).collect()}
+
+
+def test_short_items(spark):
+    items = {n: [f"s{n}x{k}" for k in range(n)] for n in (4, 5, 9, 10, 11)}
+    swap = lambda n, *at: " ".join("zz" if k in at else x for k, x in enumerate(items[n]))
+    docs = [(1, swap(9, 4)), (2, swap(10, 3, 6)), (3, swap(11, 4, 6)), (4, swap(5, 2)), (5, swap(9, 1, 5)), (6, swap(4)), (7, swap(11, 1, 4, 8))]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    assert {(x.doc_id, x.item_id, x.agreeing) for x in dc.leaks(d, b).collect()} == {(1, 9, 8), (2, 10, 8), (3, 11, 9), (4, 5, 4)}

@@ -4,16 +4,23 @@ Texts are sets of word 5-grams. Documents with the same words in the same order
 are copies of one class and enter once, as a representative. Each representative
 has a signature of min-hashes, and ``TREES`` trees each sort the representatives
 by a row of them: a sorted prefix trie, dealt by ranges, in which texts that
-share a prefix stand next to each other. The matched prefix has one length for
-all data, the longest at which a pair at the threshold shares one in some tree
-with the target recall (``depth_for``). Runs of equal prefixes are candidates;
-whole signatures thin them out, with a margin of several standard errors.
-
-Candidates that hang together form groups, and only their texts are read again.
-A group is cut into blocks and each pair of blocks is a cell of bounded size, in
-which all pairs are compared by their 5-gram sets. Cells return link counts and a
-spanning forest of their links, never pairs, so large groups of near copies do
-not multiply rows. Components of the forests are the classes of the result.
+share a prefix stand next to each other.
+
+Matching starts with the longest prefix. A run of nodes that share it is compared
+by whole signatures, with a margin of several standard errors, and nodes that are
+alike are joined. Prefixes are then shortened level by level, each run by itself: a
+run that its nodes' groups have joined already is left as it is, any other is
+matched again, down to the length at which a pair at the threshold shares a prefix
+in some tree with the target recall (``floor_for``). A run over ``BLOCK_TEXTS`` nodes
+is joined as a whole, which may add to a group but loses nothing.
+
+Groups are verified by comparing all pairs of their 5-gram sets (of 64-bit gram
+hashes). A small group is the work of one cell. A large one is cut into blocks, which
+are stored once; a task reads its own block, streams the others past it and returns
+one row a member: its number of links and the least label it is linked with. Labels
+that are linked merge until no task finds another link between two of them. So rows
+stay in proportion to members, however large a group of near copies is, and no pair
+is left out.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import importable, unused, written
+from tessera.llm.common import importable, new_dir, open_input, open_output, unused, written
 from tessera.llm.simple8b import text_batches
 
 WORDS = 5
@@ -34,13 +41,13 @@ TREES = 32
 #: Min-hashes in a tree's row: the longest prefix.
 DEPTH = 8
 RECALL = 0.9999
-#: Pairs whose signatures agree in less than THRESHOLD minus this are no candidates (4 standard errors).
+#: Pairs whose signatures agree in less than THRESHOLD minus this are no candidates: four standard errors, about 1 pair in 20,000 at the threshold.
 MARGIN = 0.1
-#: Texts, and 5-grams, in a block of a run of the forest and of a group. A cell is the work of one task, so blocks are small.
-BLOCK_TEXTS = 100
-GROUP_TEXTS = 64
+#: Nodes of a run that are compared with each other; members, and 5-grams, in a block of a group.
+BLOCK_TEXTS = 256
+GROUP_TEXTS = 128
 BLOCK_GRAMS = 1_000_000
-#: Candidate ids that may be broadcast to select texts, of 16 bytes each.
+#: Texts that may be selected by a broadcast of their keys, of 40 bytes each; more are selected by a shuffle.
 SELECTED = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20240229)
@@ -109,8 +116,8 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(">u2")
 
 
-def depth_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEPTH) -> int:
-    """Shorten the matched prefix until a pair at the threshold is met with this probability."""
+def floor_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEPTH) -> int:
+    """The longest prefix that a pair at the threshold shares in some tree with this probability."""
     depth = deepest
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
@@ -118,7 +125,7 @@ def depth_for(recall: float, threshold: float = THRESHOLD, trees: int = TREES, d
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, c1, c2 (copy class), n (5-grams) and sig of every row."""
+    """id, tag (a hash of the text), c1, c2 (copy class), n (5-grams) and sig of every row."""
     importable(docs.sparkSession)
 
     def sign(batches: Iterable) -> Iterator:
@@ -126,21 +133,36 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         from tessera.llm import ngram_join as nj
 
-        for ids, texts in text_batches(batches, 2_000_000):
-            rows = []
-            for text in texts:
-                words = nj._grams.words(text)
-                grams = Grams.grams(words)
-                rows.append((*copy_class(words), len(grams), signature(grams).tobytes()))
-            c1, c2, n, sig = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary())], names=["id", "c1", "c2", "n", "sig"])
+        for batch in batches:
+            at = 0
+            for ids, texts in text_batches([batch.select([0, 1])], 2_000_000):
+                rows = []
+                for text in texts:
+                    words = nj._grams.words(text)
+                    grams = Grams.grams(words)
+                    rows.append((*copy_class(words), len(grams), signature(grams).tobytes()))
+                c1, c2, n, sig = zip(*rows, strict=True)
+                columns = [pa.array(ids, pa.int64()), batch.column(2).slice(at, len(ids)), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int32()), pa.array(sig, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "tag", "c1", "c2", "n", "sig"])
+                at += len(ids)
+
+    rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")), F.xxhash64(text_col))
+    return rows.mapInArrow(sign, "id long, tag long, c1 long, c2 long, n int, sig binary")
 
-    rows = docs.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
-    return rows.mapInArrow(sign, "id long, c1 long, c2 long, n int, sig binary")
 
+def run_name(depth: int) -> str:
+    """The column of ``forest`` that names the run of a prefix length."""
+    return f"run{depth}"
 
-def forest(reps: DataFrame, depth: int) -> DataFrame:
-    """run, node: the runs of equal prefixes of two or more nodes; the ends of a range also alone."""
+
+def forest(reps: DataFrame, floor: int) -> DataFrame:
+    """node, and run8 to run<floor>: its runs of equal prefixes of each length, where others may share the shortest.
+
+    A row a node and tree. Runs at the ends of a range may go on in the next
+    one, so their rows are returned even if they are alone.
+    """
+    depths = range(DEPTH, floor - 1, -1)
+    schema = "node long, " + ", ".join(f"{run_name(d)} long" for d in depths)
 
     def trees(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -154,9 +176,14 @@ def forest(reps: DataFrame, depth: int) -> DataFrame:
             for t in range(TREES):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), t, np.int32)), pa.array(key[:, t, 0].astype(np.int64)), pa.array(key[:, t, 1].astype(np.int64)), pa.array(node)], names=["tree", "k1", "k2", "node"])
 
-    def prefix(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def prefix(rows: np.ndarray, depth: int) -> np.ndarray:
+        """Tree and the first ``depth`` min-hashes of each row."""
         cut = lambda k, levels: k >> np.int64(16 * (4 - levels)) if levels else np.zeros_like(k)
-        return cut(k1, min(depth, 4)), cut(k2, max(0, depth - 4))
+        return np.stack([rows[0], cut(rows[1], min(depth, 4)), cut(rows[2], max(0, depth - 4))])
+
+    def code(key: np.ndarray, depth: int) -> np.ndarray:
+        u = key.view(np.uint64)
+        return mix(mix(mix(u[0] * np.uint64(64) + np.uint64(depth)) ^ u[1]) ^ u[2]).view(np.int64)
 
     def runs(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -164,14 +191,10 @@ def forest(reps: DataFrame, depth: int) -> DataFrame:
         held: list[np.ndarray] = []  # the last run, which may go on
         first = True
 
-        def joined(batch) -> np.ndarray:
-            tree, k1, k2, node = (np.asarray(c) for c in batch.columns)
-            p1, p2 = prefix(k1, k2)
-            return np.stack([tree.astype(np.int64), p1, p2, node])
-
         def out(rows: np.ndarray, ends: tuple[bool, bool]) -> Iterator:
+            key = prefix(rows, floor)
             new = np.ones(rows.shape[1], bool)
-            new[1:] = (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)
+            new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
             run = np.cumsum(new) - 1
             keep = np.bincount(run)[run] > 1
             if ends[0]:
@@ -180,18 +203,19 @@ def forest(reps: DataFrame, depth: int) -> DataFrame:
                 keep |= run == run[-1]
             if keep.any():
                 rows = rows[:, keep]
-                code = mix(mix(mix(rows[0].view(np.uint64)) ^ rows[1].view(np.uint64)) ^ rows[2].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(rows[3])], names=["run", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[3]), *(pa.array(code(prefix(rows, d), d)) for d in depths)], names=["node", *map(run_name, depths)])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = joined(batch)
-            if held and (rows[:3, 0] == rows[:3, -1]).all() and (held[0][:3, 0] == rows[:3, 0]).all():
+            rows = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
+            key = prefix(rows, floor)
+            if held and (key[:, 0] == key[:, -1]).all() and (prefix(held[0][:, :1], floor)[:, 0] == key[:, 0]).all():
                 held.append(rows)  # a run over many batches
                 continue
             rows = np.concatenate([*held, rows], axis=1)
-            last = int(np.flatnonzero((rows[:3] != rows[:3, -1:]).any(axis=0)).max(initial=-1)) + 1
+            key = prefix(rows, floor)
+            last = int(np.flatnonzero((key != key[:, -1:]).any(axis=0)).max(initial=-1)) + 1
             if last:
                 yield from out(rows[:, :last], (first, False))
                 first = False
@@ -201,27 +225,11 @@ def forest(reps: DataFrame, depth: int) -> DataFrame:
 
     order = ["tree", "k1", "k2", "node"]
     rows = reps.select("node", "sig").mapInArrow(trees, "tree int, k1 long, k2 long, node long")
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(runs, "run long, node long")
-
-
-def in_cells(members: DataFrame, group: str, most: int, weight: str | None = None, heaviest: int = 1) -> DataFrame:
-    """Deal the members of each group to cells: pairs of blocks of about ``most`` members or ``heaviest`` weight.
-
-    Adds i, j (the cell's blocks) and own (this member's block). A group of one
-    block is one cell; of b blocks, every member is in b cells.
-    """
-    sums = [F.count("*").alias("size")] + ([F.sum(weight).alias("heavy")] if weight else [])
-    sizes = members.groupBy(group).agg(*sums).filter("size > 1")
-    blocks = F.ceil(F.greatest(F.col("size") / most, F.col("heavy") / heaviest if weight else F.lit(0.0))).cast("int")
-    sizes = written(sizes.select(group, blocks.alias("blocks")), "group-sizes")
-    own = members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
-    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return each.select(*members.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(runs, schema)
 
 
 def cells(rows: DataFrame, group: str, compare: Callable, schema: str) -> DataFrame:
-    """Sort rows by cell and call ``compare(i, j, rows as Arrow table)`` for each cell."""
-    names = rows.columns
+    """Gather each (bounded) group of rows and call ``compare(rows as Arrow table)`` on it."""
 
     def walk(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -230,48 +238,50 @@ def cells(rows: DataFrame, group: str, compare: Callable, schema: str) -> DataFr
 
         def done() -> Iterator:
             if held:
-                table = pa.Table.from_batches(held)
-                if table.num_rows > 1:
-                    yield from compare(now[1], now[2], table).to_batches()
+                yield from compare(pa.Table.from_batches(held)).to_batches()
 
         for batch in batches:
-            g, i, j = (np.asarray(batch[c]) for c in (group, "i", "j"))
+            g = np.asarray(batch[group])
             if not len(g):
                 continue
-            new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-            starts = np.flatnonzero(new).tolist()
+            starts = np.flatnonzero(np.append(True, g[1:] != g[:-1])).tolist()
             for a, b in zip(starts, [*starts[1:], len(g)], strict=True):
-                key = (int(g[a]), int(i[a]), int(j[a]))
-                if key != now:
+                if now is None or int(g[a]) != now:
                     yield from done()
-                    held, now = [], key
+                    held, now = [], int(g[a])
                 held.append(batch.slice(a, b - a))
         yield from done()
 
-    return rows.select(names).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j").mapInArrow(walk, schema)
+    return rows.repartition(group).sortWithinPartitions(group, "node").mapInArrow(walk, schema)
+
 
+class Labels:
+    """Sets of labels that merge; each is named by its least label."""
 
-def spanning(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links a-b (indices), each tree a star around its first node."""
-    parent = list(range(len(node)))
+    def __init__(self, labels: Iterable[int]):
+        self.parent = {int(x): int(x) for x in labels}
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent[x] != x:
             parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    return [(int(node[r]), int(node[k])) for k in range(len(node)) if (r := root(k)) != k]
+    def merge(self, a: Iterable[int], b: Iterable[int]) -> None:
+        for x, y in zip(a, b, strict=True):
+            x, y = self.root(x), self.root(y)
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+
+    def star(self) -> list[tuple[int, int]]:
+        """Each label but the least of its set, with that one."""
+        return [(k, r) for k in self.parent if (r := self.root(k)) != k]
 
 
 def alike(sig: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that agree in at least ``least`` places, x < y."""
-    xs, ys = [], []
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(len(sig) - 1):
         y = np.flatnonzero((sig[k + 1 :] == sig[k]).sum(axis=1) >= least) + k + 1
         xs.append(np.full(len(y), k))
@@ -279,21 +289,50 @@ def alike(sig: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(xs), np.concatenate(ys)
 
 
-def candidates(reps: DataFrame, depth: int) -> DataFrame:
-    """Links a, b between representatives: forests of those whose signatures are alike within a run."""
+def _pairs(links: list[tuple[int, int]]):
+    import pyarrow as pa
+
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def candidates(reps: DataFrame, floor: int) -> DataFrame:
+    """node, comp: groups of representatives that the forest joins, from the longest prefix to the shortest."""
     least = int(np.ceil((THRESHOLD - MARGIN) * TREES * DEPTH))
+    tries = written(forest(reps, floor), "runs")
+    sigs = reps.select("node", "sig")
+
+    def compare(table):
+        comp = np.asarray(table["comp"])
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "u2").reshape(len(comp), -1)
+        x, y = alike(sig, least)
+        sets = Labels(comp)
+        sets.merge(comp[x].tolist(), comp[y].tolist())
+        return _pairs(sets.star())
+
+    names = None
+    for depth in range(DEPTH, floor - 1, -1):
+        rows = tries.select(F.col(run_name(depth)).alias("run"), "node")
+        rows = rows.withColumn("comp", F.col("node")) if names is None else named(rows, names)
+        sizes = rows.groupBy("run").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        apart = written(sizes.filter("low <> high").select("run", "size", "low"), "runs-apart")
+        rows = rows.join(apart, "run")
+        small = cells(rows.filter(F.col("size") <= BLOCK_TEXTS).select("run", "node", "comp").join(sigs, "node"), "run", compare, "a long, b long")
+        large = rows.filter((F.col("size") > BLOCK_TEXTS) & (F.col("comp") != F.col("low"))).select(F.col("comp").alias("a"), F.col("low").alias("b"))
+        names = renamed(names, components(small.unionByName(large).distinct()))
+    return names
 
-    def compare(i: int, j: int, table):
-        import pyarrow as pa
 
-        node = np.asarray(table["node"])
-        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "u2").reshape(len(node), -1)
-        links = spanning(node, *alike(sig, least))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+def named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` with the comp of their node, which is the node itself unless ``names`` has it."""
+    return rows.join(names, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    runs = in_cells(written(forest(reps, depth), "runs"), "run", BLOCK_TEXTS)
-    rows = runs.join(reps.select("node", "sig"), "node")
-    return cells(rows, "run", compare, "a long, b long").distinct()
+
+def renamed(names: DataFrame | None, step: DataFrame) -> DataFrame:
+    """``names`` (node, comp) after the comps in ``step`` (node, comp) have got new ones."""
+    if names is None:
+        return step
+    old = names.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp"))
+    return written(old.unionByName(step.join(names, "node", "left_anti").select("node", "comp")), "components")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -311,41 +350,158 @@ def components(links: DataFrame) -> DataFrame:
         one = links.join(least.select(F.col("old").alias("a"), F.col("new").alias("x")), "a")
         two = one.join(least.select(F.col("old").alias("b"), F.col("new").alias("y")), "b")
         links = written(two.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        step = least.select(F.col("old").alias("node"), F.col("new").alias("comp"))
         if names is None:
-            names = least.select(F.col("old").alias("node"), F.col("new").alias("comp"))
+            names = step
         else:
-            step = least.select(F.col("old").alias("comp"), "new")
-            names = written(names.join(step, "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "components")
+            names = written(names.join(step.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")), "components")
     return names if names is not None else links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """Exact comparison within candidate groups: rows (a, b, links); b is null in counts, links in the forest."""
-    wanted = groups.join(reps.select("node", "id", "n", "copies"), "node")
-    cell = in_cells(wanted, "comp", GROUP_TEXTS, "n", BLOCK_GRAMS)
-    grams = _gram_sets(docs, wanted.select("id", "node"), id_col, text_col)
+class Block:
+    """Members of a group: node, label, copies and gram sets."""
+
+    def __init__(self, node: np.ndarray, label: np.ndarray, copies: np.ndarray, sets: list[np.ndarray]):
+        self.node, self.label, self.copies, self.sets = node, label, copies, sets
+
+    @classmethod
+    def of(cls, table) -> Block:
+        return cls(*(np.asarray(table[c]) for c in ("node", "label", "copies")), [np.frombuffer(g, "<u8") for g in table["grams"].to_pylist()])
+
+    def pack(self) -> bytes:
+        sizes = np.array([len(s) for s in self.sets])
+        return b"".join(x.astype("<i8").tobytes() for x in (np.array([len(sizes)]), self.node, self.label, self.copies, sizes)) + np.concatenate(self.sets).astype("<u8").tobytes()
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Block:
+        n = int(np.frombuffer(data, "<i8", 1)[0])
+        node, label, copies, sizes = np.frombuffer(data, "<i8", 4 * n, 8).reshape(4, n)
+        return cls(node, label, copies, np.split(np.frombuffer(data, "<u8", offset=8 * (4 * n + 1)), np.cumsum(sizes)[:-1]))
+
+
+def verified(docs: DataFrame, reps: DataFrame, groups: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Exact comparison within groups: (node, links) of linked nodes, copies of others counted, and their (node, comp)."""
+    wanted = written(groups.join(reps.select("node", "id", "tag", "c1", "c2", "n", "copies"), "node"), "group-members")
+    sizes = wanted.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("heavy"))
+    blocks = F.ceil(F.greatest(F.col("size") / GROUP_TEXTS, F.col("heavy") / BLOCK_GRAMS)).cast("int")
+    sizes = written(sizes.select("comp", blocks.alias("blocks")), "group-sizes")
+    sets = wanted.select("node", "comp", "copies").join(_gram_sets(docs, wanted, id_col, text_col), "node").join(sizes, "comp")
+    sets = written(sets.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")), "group-sets")
 
-    def compare(i: int, j: int, table):
+    def compare(table):
         import pyarrow as pa
 
-        node, once = np.unique(np.asarray(table["node"]), return_index=True)  # a repeated row brings its text again
-        table = table.take(pa.array(once))
-        own, copies = (np.asarray(table[c]) for c in ("own", "copies"))
-        sets = [np.frombuffer(g, "<u8") for g in table["grams"].to_pylist()]
-        x, y = similar(sets, threshold)
-        if i != j:  # pairs within a block are counted in that block's own cell
-            apart = own[x] != own[y]
-            x, y = x[apart], y[apart]
-        count = np.bincount(x, weights=copies[y], minlength=len(node)) + np.bincount(y, weights=copies[x], minlength=len(node))
+        own = Block.of(table)
+        count, low = links_of(own, [own], threshold)
         has = np.flatnonzero(count)
-        links = spanning(node, x, y)
-        return pa.table({
-            "a": pa.array([*node[has].tolist(), *(p for p, _ in links)], pa.int64()),
-            "b": pa.array([*[None] * len(has), *(q for _, q in links)], pa.int64()),
-            "links": pa.array([*count[has].astype(np.int64).tolist(), *[None] * len(links)], pa.int64()),
-        })
+        return pa.table({"node": own.node[has], "low": low[has], "links": count[has]})
+
+    small = written(cells(sets.filter("blocks = 1").withColumn("label", F.col("node")), "comp", compare, "node long, low long, links long"), "links-of-small-groups")
+    counts, comps = _large_groups(sets.filter("blocks > 1"), threshold)
+    within = components(small.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    if counts is None:
+        return small.select("node", "links"), within
+    return small.select("node", "links").unionByName(counts), within.unionByName(comps)
+
+
+def _large_groups(sets: DataFrame, threshold: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """As ``verified``, for groups of several blocks: rounds of block tasks until no two labels of a group are linked."""
+    counts = names = None
+    left = written(sets.select("comp").distinct(), "groups-left")
+    while not left.isEmpty():
+        own = sets.join(left, "comp", "left_semi").select("comp", "block", "node", "copies", "grams")
+        own = own.withColumn("label", F.col("node")) if names is None else named(own.withColumnRenamed("comp", "g"), names).withColumnsRenamed({"comp": "label", "g": "comp"})
+        found = written(_compared(_stored(own), threshold), "links-of-large-groups")
+        if counts is None:
+            counts = found.filter("links > 0").select("node", "links")
+        step = components(found.select(F.col("label").alias("a"), F.col("low").alias("b")))
+        left = written(found.filter("label <> low").select("comp").distinct(), "groups-left")  # others have found all their links
+        names = renamed(names, step)
+    return counts, names
+
+
+def _stored(members: DataFrame) -> DataFrame:
+    """Write each block of each group once; comp, block, and where it lies."""
+    folder = new_dir(members.sparkSession, "group-blocks")
+
+    def store(batches: Iterable) -> Iterator:
+        import uuid
+
+        import pyarrow as pa
+
+        out, path, at, held, now = None, f"{folder}/{uuid.uuid4().hex}", 0, [], None
+
+        def done() -> Iterator:
+            nonlocal out, at
+            if held:
+                out = out or open_output(path)
+                data = Block.of(pa.Table.from_batches(held)).pack()
+                out.write(data)
+                yield pa.RecordBatch.from_pydict({"comp": pa.array([now[0]]), "block": pa.array([now[1]], pa.int32()), "path": [path], "at": pa.array([at]), "size": pa.array([len(data)])})
+                at += len(data)
+
+        for batch in batches:
+            comp, block = np.asarray(batch["comp"]), np.asarray(batch["block"])
+            if not len(comp):
+                continue
+            starts = np.flatnonzero(np.append(True, (comp[1:] != comp[:-1]) | (block[1:] != block[:-1]))).tolist()
+            for a, b in zip(starts, [*starts[1:], len(comp)], strict=True):
+                if (key := (int(comp[a]), int(block[a]))) != now:
+                    yield from done()
+                    held, now = [], key
+                held.append(batch.slice(a, b - a))
+        yield from done()
+        if out:
+            out.close()
+
+    dealt = members.repartition("comp", "block").sortWithinPartitions("comp", "block", "node")
+    return written(dealt.mapInArrow(store, "comp long, block int, path string, at long, size long"), "block-manifest")
 
-    return cells(cell.join(grams, "node"), "comp", compare, "a long, b long, links long")
+
+def _compared(blocks: DataFrame, threshold: float) -> DataFrame:
+    """comp, node, label, low, links of every member of the stored blocks; a task streams a group past one of its blocks."""
+    where = F.struct("path", "at", "size")
+    lists = written(blocks.groupBy("comp").agg(F.sort_array(F.collect_list(where)).alias("group")), "block-lists")  # a place a block, of GROUP_TEXTS members
+    tasks = blocks.select("comp", "block", where.alias("own")).join(lists, "comp").repartition("comp", "block")
+
+    def compare(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        files: dict[str, object] = {}
+
+        def read(place: dict) -> Block:
+            if place["path"] not in files:
+                if len(files) > 100:
+                    files.clear()
+                files[place["path"]] = open_input(place["path"])
+            return Block.unpack(files[place["path"]].read_at(place["size"], place["at"]))
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = read(row["own"])
+                others = (own if place == row["own"] else read(place) for place in row["group"])
+                count, low = links_of(own, others, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(count), row["comp"])), *map(pa.array, (own.node, own.label, low, count))], names=["comp", "node", "label", "low", "links"])
+
+    return tasks.mapInArrow(compare, "comp long, node long, label long, low long, links long")
+
+
+def links_of(own: Block, others: Iterable[Block], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each member of ``own`` the copies it is linked with, and the least label that its links lead to within ``own``."""
+    count, low = np.zeros(len(own.node), np.int64), own.label.copy()
+    within = Labels(own.label)
+    for other in others:
+        x, y = similar(own.sets, other.sets, threshold)
+        if other is own:
+            x, y = x[x != y], y[x != y]
+            within.merge(own.label[x].tolist(), own.label[y].tolist())
+        np.add.at(count, x, other.copies[y])
+        np.minimum.at(low, x, other.label[y])
+    least: dict[int, int] = {}
+    roots = [within.root(k) for k in own.label.tolist()]
+    for r, k in zip(roots, low.tolist(), strict=True):
+        least[r] = min(k, least.get(r, k))
+    return count, np.array([least[r] for r in roots], np.int64)
 
 
 def _gram_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -357,52 +513,70 @@ def _gram_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
 
         from tessera.llm import ngram_join as nj
 
-        for nodes, texts in text_batches(batches, 2_000_000):
-            own, sets = [], []
-            for node, text in zip(nodes, texts, strict=True):
-                words = nj._grams.words(text)
-                if copy_class(words)[0] == node:  # not another text under the same id
-                    own.append(node)
-                    sets.append(Grams.grams(words).astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sets, pa.binary())], names=["node", "grams"])
-
-    ids = wanted.select(F.col("id").alias("w_id"), "node")
-    few = ids.limit(SELECTED + 1).count() <= SELECTED
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    picked = texts.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("w_id")))
-    sets = picked.select("node", "text").mapInArrow(cut, "node long, grams binary")
-    return sets
-
-
-def similar(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs x < y of sets with a Jaccard similarity of at least ``threshold``, exactly."""
+        for batch in batches:
+            at = 0
+            for nodes, texts in text_batches([batch.select([0, 1])], 2_000_000):
+                own, sets = [], []
+                c1, c2 = (batch.column(k).slice(at, len(nodes)).to_pylist() for k in (2, 3))
+                at += len(nodes)
+                for node, text, one, two in zip(nodes, texts, c1, c2, strict=True):
+                    words = nj._grams.words(text)
+                    if copy_class(words) == (one, two):  # not another text of the same hash
+                        own.append(node)
+                        sets.append(Grams.grams(words).astype("<u8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sets, pa.binary())], names=["node", "grams"])
+
+    keys = wanted.select(F.xxhash64("id", "tag").alias("w_key"), F.col("id").alias("w_id"), F.col("tag").alias("w_tag"), "node", "c1", "c2")
+    few = wanted.count() <= SELECTED
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    on = (F.xxhash64("id", "tag") == F.col("w_key")) & F.col("id").eqNullSafe(F.col("w_id")) & (F.col("tag") == F.col("w_tag"))
+    picked = texts.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), on)
+    sets = picked.select("node", "text", "c1", "c2").mapInArrow(cut, "node long, grams binary")
+    return sets.dropDuplicates(["node"])  # a repeated row brings its text again
+
+
+def similar(one: list[np.ndarray], two: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs x of ``one`` and y of ``two``, sets with a Jaccard similarity of at least ``threshold``, exactly."""
+    sets = one if two is one else [*one, *two]
     n = np.array([len(s) for s in sets])
-    if len(sets) <= 16:
-        pairs = []
-        for x in range(len(sets)):
-            for y in range(x + 1, len(sets)):
-                if min(n[x], n[y]) >= threshold * max(n[x], n[y]):
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if both >= threshold * (n[x] + n[y] - both) - 1e-9:
-                        pairs.append((x, y))
-        return tuple(np.array(c, np.int64) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+    first, second = n[: len(one)], n[len(sets) - len(two) :]
     rows = np.repeat(np.arange(len(sets)), n)
-    value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1  # a gram of one set is in no intersection
     place = np.cumsum(shared) - 1
     use = shared[column]
     rows, column = rows[use], place[column[use]]
     order = np.argsort(column, kind="stable")
     rows, column = rows[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((len(one), len(two)), np.float32)
     width = 4096
     for lo in range(0, int(shared.sum()), width):
         a, b = np.searchsorted(column, [lo, lo + width])
         dense = np.zeros((len(sets), width), np.float32)
         dense[rows[a:b], column[a:b] - lo] = 1
-        both += dense @ dense.T
-    either = n[:, None] + n[None, :] - both
-    return np.nonzero(np.triu(both >= threshold * either - 1e-6, 1))
+        both += dense[: len(one)] @ dense[len(sets) - len(two) :].T
+    either = first[:, None] + second[None, :] - both
+    if two is one:
+        np.fill_diagonal(both, first)
+        np.fill_diagonal(either, first)
+    return np.nonzero(both >= threshold * either - 1e-6)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows (id, tag, c1, c2), and c1, c2, class_id, class_size, n_links and the kept row (id, tag) of all representatives."""
+    importable(docs.sparkSession)
+    rows = written(signed(docs, id_col, text_col), "signatures")
+    least = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "tag"))
+    groups = rows.groupBy("c1", "c2").agg(least.alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = written(groups.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "least", "least.id", "least.tag", "copies", "n", "sig"), "representatives")
+    known = reps.filter("n > 0")
+    near = candidates(known, floor_for(recall, threshold))
+    counts, comps = verified(docs, known, near, id_col, text_col, threshold)
+    linked = named(reps.select("node", "c1", "c2", "least", "copies"), comps).join(counts, "node", "left")
+    linked = written(linked.select("c1", "c2", "comp", "least", "copies", F.coalesce("links", F.lit(0)).alias("others")), "linked")
+    classes = written(linked.groupBy("comp").agg(F.min("least").alias("kept"), F.sum("copies").alias("class_size")), "classes")
+    of_rep = linked.join(classes, "comp").select("c1", "c2", F.col("kept.id").alias("class_id"), F.col("kept.tag").alias("kept_tag"), "class_size", (F.col("copies") - 1 + F.col("others")).alias("n_links"))
+    return rows.select("id", "tag", "c1", "c2"), written(of_rep, "of-representatives")
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -412,33 +586,35 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least ``threshold``, copies among them. ``class_id``: the smallest doc_id in
     the class, all rows connected by links; ``class_size``: its rows. Null text
     has no words; all texts without words are copies of each other, and texts of
-    fewer than five words are one gram. Rows without a doc_id are linked with
-    copies only, and a class of such rows only has a null class_id. Repeated rows
-    are copies. An empty table gives no rows; other columns are ignored.
+    fewer than five words are one gram; very long texts are cut into blocks of fewer
+    members. Rows without a doc_id are linked like others; a class of such rows only
+    has a null class_id. Repeated rows are copies. An empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    importable(spark)
-    rows = written(signed(docs, id_col, text_col), "signatures")
-    groups = rows.groupBy("c1", "c2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = written(groups.select(F.col("c1").alias("node"), "c2", "id", "copies", "n", "sig"), "representatives")
-    known = reps.filter("n > 0 AND id IS NOT NULL")
-    near = components(candidates(known, depth_for(recall, threshold)))
-    checked = written(verified(docs, known, near, id_col, text_col, threshold), "verified")
-    comps = components(checked.filter("b IS NOT NULL").select("a", "b"))
-    degree = checked.filter("links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
-    linked = reps.select("node", "c2", "id", "copies").join(comps, "node", "left").join(degree, "node", "left")
-    linked = linked.select("node", "c2", "id", "copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("others", F.lit(0)).alias("others"))
-    linked = written(linked, "linked")
-    classes = written(linked.groupBy("comp").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size")), "classes")
-    of_rep = written(linked.join(classes, "comp").select(F.col("node").alias("c1"), "c2", "class_id", "class_size", (F.col("copies") - 1 + F.col("others")).alias("n_links")), "of-representatives")
+    rows, of_rep = _classes(docs, id_col, text_col, threshold, recall)
     return rows.select(F.col("id").alias("doc_id"), "c1", "c2").join(of_rep, ["c1", "c2"]).select("doc_id", "class_id", "class_size", "n_links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their class, all columns as they were.
+    """One row of ``docs`` of each class, that of the smallest doc_id, all columns as they were.
 
-    Rows without a doc_id stay only if their whole class has none.
+    A row without a doc_id stays only if its whole class has none. Of rows with
+    the same doc_id and text one stays, of texts under one doc_id that of the
+    smallest hash. Null and empty texts are one class; an empty table stays empty.
     """
-    name = unused(docs, "keep_id")
-    found = ngram_join(docs, threshold=threshold).filter("doc_id <=> class_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
+    rows, of_rep = _classes(docs, "doc_id", "text", threshold, RECALL)
+    judged = rows.join(of_rep, ["c1", "c2"]).groupBy("id", "tag").agg(
+        F.count("*").alias("n"), F.max(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("tag") == F.col("kept_tag"))).alias("stays")
+    )
+    judged = written(judged.filter("n > 1 OR NOT stays"), "rows-that-go")
+    names = {c: unused(docs, f"gone_{c}") for c in ("id", "tag")}
+    own_id, own_tag = F.col("doc_id").cast("long"), F.xxhash64("text")
+
+    def met(which: DataFrame, how: str) -> DataFrame:
+        side = which.select(*[F.col(c).alias(x) for c, x in names.items()])
+        on = (F.xxhash64(own_id, own_tag) == F.xxhash64(*names.values())) & own_id.eqNullSafe(F.col(names["id"])) & (own_tag == F.col(names["tag"]))
+        return docs.join(side, on, how)
+
+    single = met(judged, "left_anti")
+    again = judged.filter("n > 1 AND stays")
+    return single if again.isEmpty() else single.unionByName(met(again, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import importable, written
-from tessera.llm.simple8b import text_batches, with_end
+from tessera.llm.simple8b import text_slices, with_end
 
 CAPACITY = 4096
 #: Coarse lengths in a full sequence, and the most pieces in a pattern.
@@ -188,8 +188,8 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col
         from tessera.llm.tokens import load
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for doc_ids, texts in text_batches(batches):
-            flat, counts = with_end(*load(tokenizer_path).encode(texts), end_id)
+        for rows in text_slices(batches):
+            flat, counts = with_end(*load(tokenizer_path).encode(rows.column(1)), end_id)
             raw = flat.astype("<u4").tobytes()
             n = -(-counts // capacity)
             doc = np.repeat(np.arange(len(counts)), n)
@@ -203,7 +203,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col
             rank = np.empty(len(run), np.int64)
             rank[order] = np.arange(len(run)) - np.searchsorted(run, run) + seen[run]
             seen += np.bincount(length, minlength=capacity + 1)
-            ids = pa.array(doc_ids, pa.int64()).take(pa.array(doc))
+            ids = rows.column(0).take(pa.array(doc))
             columns = [ids, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(rank)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
 

@@ -18,7 +18,7 @@ import zlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import importable, new_dir, open_input, open_output, written
@@ -89,15 +89,18 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     chosen = pick[row, col]
     words = chosen.astype(np.uint64) << np.uint64(60)
     exceptions = np.zeros(0, np.uint64)
+    flat, first = grid.ravel(), row * grid.shape[1] + col
     for selector in np.unique(chosen):
         own = np.flatnonzero(chosen == selector)
+        at = first[own]
         if selector == ESCAPE:
-            exceptions = grid[row[own], col[own]]
+            exceptions = flat[at]
             words[own] |= np.arange(len(own), dtype=np.uint64)
             continue
-        width = np.uint64(WIDTHS[selector])
+        width, word = np.uint64(WIDTHS[selector]), words[own]
         for k in range(COUNTS[selector] if width else 0):
-            words[own] |= grid[row[own], col[own] + k] << (np.uint64(k) * width)
+            word |= flat[at + k] << (np.uint64(k) * width)
+        words[own] = word
     return words, np.bincount(row, minlength=blocks), exceptions
 
 
@@ -217,16 +220,23 @@ class Reader:
             start += length
 
 
-def text_batches(batches: Iterable, most: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
-    """Ids and texts of Arrow batches, about ``most`` characters at a time."""
+def text_slices(batches: Iterable, most: int = 8_000_000) -> Iterator:
+    """Slices of Arrow batches, of about ``most`` bytes of text in the second column and one row at least."""
+    import pyarrow.compute as pc
+
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        lo = held = 0
-        for k, text in enumerate(texts):
-            held += len(text)
-            if held >= most or k == len(texts) - 1:
-                yield ids[lo : k + 1], texts[lo : k + 1]
-                lo, held = k + 1, 0
+        ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most)))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def text_batches(batches: Iterable, most: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of Arrow batches, about ``most`` bytes of text at a time."""
+    for part in text_slices(batches, most):
+        yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +256,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     written by Spark's committer, names the file of the attempt that counts.
     Documents are dealt by ranges of (doc_id, text), so repeated ids don't meet
     in one task. Null text is empty, a null doc_id comes first, rows of one id
-    are ordered by their text; an empty table gives no files.
+    are ordered by their text; an empty table gives no files. A text of any length is
+    one task's work; further columns are ignored.
     """
     spark = docs.sparkSession
     importable(spark)
@@ -262,11 +273,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
 
         part = TaskContext.get().partitionId()
         path, writer, n_docs = f"{folder}/part-{part:06d}-{uuid.uuid4().hex[:8]}.s8b", None, 0
-        for ids, texts in text_batches(batches):
+        for rows in text_slices(batches):
             writer = writer or Writer(path)
-            flat, counts = with_end(*load(tokenizer_path).encode(texts), end_id)
-            writer.add(ids, counts, flat)
-            n_docs += len(ids)
+            flat, counts = with_end(*load(tokenizer_path).encode(rows.column(1)), end_id)
+            writer.add(rows.column(0).to_pylist(), counts, flat)
+            n_docs += rows.num_rows
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": [writer.n_ids]})
@@ -274,11 +285,17 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("h"))
     dealt = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     manifest = written(dealt.mapInArrow(write, "part int, path string, n_docs long, n_ids long"), "token-manifest")
-    found, base = [], 0
-    for r in manifest.orderBy("part").collect():  # one row a file
-        found.append((r.part, r.path, r.n_docs, r.n_ids, base))
-        base += r.n_ids
-    return spark.createDataFrame(found, "part int, path string, n_docs long, n_ids long, base long")
+    return with_base(manifest)
+
+
+def with_base(manifest: DataFrame, at_once: int = 1000) -> DataFrame:
+    """The manifest and ``base``, the ids in earlier files: running sums within groups of files and over the groups."""
+    files = manifest.withColumn("group", F.expr(f"part div {at_once}"))
+    groups = files.groupBy("group").agg(F.sum("n_ids").alias("group_ids"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("group", F.coalesce(F.sum("group_ids").over(before(Window.orderBy("group"))), F.lit(0)).alias("group_base"))
+    own = F.coalesce(F.sum("n_ids").over(before(Window.partitionBy("group").orderBy("part"))), F.lit(0))
+    return written(files.withColumn("own", own).join(groups, "group").select("part", "path", "n_docs", "n_ids", (F.col("group_base") + F.col("own")).alias("base")), "token-bases")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

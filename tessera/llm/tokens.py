@@ -2,159 +2,170 @@
 
 Both public BPE vocabularies split a text into pre-tokens that never run across
 a single space between two other characters, and merge inside a pre-token only.
-So the ids of a text are the ids of its units in a row, and a unit that was seen
-before needs no tokenizer. New units go to the tokenizers library, whose own
-ids the tests compare for whole texts.
+So the ids of a text are the ids of its units in a row. Arrow splits a batch of
+texts and looks its units up in the cache; units not seen before go to the
+tokenizers library, joined to one text, whose ids are cut at the units' borders.
+Texts with more white space around a space are cut elsewhere only, and texts that
+hold a special token's string are encoded by the library as they are.
+
+The tests compare the ids with the library's for whole texts, special tokens,
+all kinds of white space and letters that normalisation composes among them.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
-from collections.abc import Sequence
 
 import numpy as np
 
-#: Units in a worker's cache; a full one makes way, but for what is used again. This changes nothing but speed.
-CACHED_UNITS = 600_000
-#: Longer units are not kept.
-LONGEST_UNIT = 64
+#: Units in a worker's cache; a full one makes way for those used last. This changes nothing but speed.
+CACHED_UNITS = 800_000
+#: Bytes of the units in it.
+CACHED_BYTES = 32_000_000
 
+#: All white space, as Arrow's regular expressions write it.
+_WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\pZ]"
+#: A text in which a space has white space beside it or stands at an end.
+_ODD = f"^{_WHITE}|{_WHITE}$| {_WHITE}|{_WHITE} "
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Bytes as the characters that byte-level vocabularies use for them (fixed by the format).
-_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-#: The pre-token pattern of byte-level BPE with its own splitting (fixed by the format).
-#: Latin letters, with at most one mark after them: the same pre-tokens under either pattern.
-_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([,.]?)").fullmatch
-#: A character that does not stand for itself, beside a leading space.
-_ODD = re.compile(r"[^!-~]", re.ASCII).search
-_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-class _Index(dict):
-    """Unit -> its number; new units are tokenized on first sight, with what stands before them.
-
-    ``older``: the index before the last clearing, whose units need no tokenizer.
-    """
-
-    def __init__(self, owner: UnitTokenizer, before: str, older: dict[str, int]):
-        super().__init__()
-        self.owner, self.before, self.older = owner, before, older
-
-    def __missing__(self, unit: str) -> int:
-        if (k := self.older.get(unit)) is not None:
-            k = self.owner.again(k, unit)
-        else:
-            k = self.owner.add(self.before + unit, unit)
-        if len(unit) <= LONGEST_UNIT:
-            self[unit] = k
-        return k
+_ANY_WHITE = re.compile(r"\s")
+#: Stands between units where ids do not show borders: a word by itself in the vocabularies with word ends.
+_BETWEEN = "\x01"
+
+
+def _ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... ``counts[0]`` numbers, then those from first[1] on, and so forth."""
+    ends = np.cumsum(counts)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(first - (ends - counts), counts) + np.arange(total)
 
 
 class UnitTokenizer:
-    """encode(texts) -> all ids in one array and the number of ids of each text."""
+    """encode(texts) -> all ids in one array and the number of ids of each text, as the library's encode() gives them."""
 
     def __init__(self, path: str):
-        import json
-
-        import regex
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            parts = json.load(f)["pre_tokenizer"]
-        parts = parts.get("pretokenizers", [parts])
-        pattern = next((p["pattern"]["Regex"] for p in parts if p["type"] == "Split"), _BYTE_LEVEL)
-        self.pieces = regex.compile(pattern).findall
-        self.spaced = pattern == _BYTE_LEVEL  # the other vocabulary's pattern leaves spaces out
-        self.normalizer = self.tokenizer.normalizer
-        self.tokenize = self.tokenizer.model.tokenize
-        self.first = self.later = None
-        self._reset()
-
-    def _reset(self) -> None:
-        """Start an empty cache and keep the one before it as the older one."""
-        old = (self.first, self.later) if self.first is not None else ({}, {})
-        for index in old if self.first is not None else ():
-            index.older = {}
-        self.old_flat, self.old_starts, self.old_counts = (self.flat, self.starts, self.counts) if self.first is not None else (None, None, None)
-        self.first = _Index(self, "", old[0])
-        self.later = _Index(self, " ", old[1]) if self.spaced else self.first
-        self.flat, self.starts, self.counts, self.bordered = array("I"), array("i"), array("i"), array("b")
-
-    def ids(self, unit: str) -> Sequence[int]:
-        """The ids of a unit: of its only pre-token, or those of its pre-tokens as units, one after the other."""
-        if self.normalizer is not None:
-            unit = self.normalizer.normalize_str(unit)
-        if (plain := _PLAIN(unit)) is not None:
-            word, mark = plain.groups()
-            if not self.spaced:
-                word = word.lstrip(" ")
-            pieces = (word, mark) if mark else (word,)
+        self.library = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        #: Whether a space before a unit shows in its ids, and the ids that such a unit begins with.
+        self.spaced = self._library([" a"])[0] != self._library(["a"])[0]
+        self.opens = np.zeros(1 + max(vocabulary.values()), bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
+        self.between = self._library([_BETWEEN])[0]
+        self.known = pa.array([], pa.string())
+        self.flat, self.counts, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.batch = 0
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct units, each after a space if that shows: all ids, and how many each unit has."""
+        odd = [not u or u[0].isspace() or u[-1].isspace() or " " in u or _BETWEEN in u for u in units]
+        joined = [u for u, o in zip(units, odd, strict=True) if not o]
+        counts = np.zeros(len(units), np.int64)
+        ids, own = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if joined:
+            ids = np.array(self._library([" " + " ".join(joined) if self.spaced else f" {_BETWEEN} ".join(joined)])[0], np.uint32)
+            if self.spaced:
+                own = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+            else:
+                ends = np.append(np.flatnonzero(ids == self.between[0]), len(ids))
+                own = np.diff(np.append(-1, ends)) - 1
+                ids = ids[ids != self.between[0]]
+            if len(own) != len(joined) or int(own.sum()) != len(ids):  # borders that can't be told from ids
+                joined, odd = [], [True] * len(units)
+                ids, own = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        single = self._library([" " + u if self.spaced else u for u, o in zip(units, odd, strict=True) if o])
+        odd = np.array(odd)
+        counts[~odd] = own
+        counts[odd] = [len(x) for x in single]
+        flat = np.zeros(int(counts.sum()), np.uint32)
+        first = np.cumsum(counts) - counts
+        flat[_ragged(first[~odd], counts[~odd])] = ids
+        flat[_ragged(first[odd], counts[odd])] = np.array([i for x in single for i in x], np.uint32)
+        return flat, counts
+
+    def _find(self, units) -> np.ndarray:
+        """The numbers of units (an Arrow array) in the cache, where new ones are added."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.known) > CACHED_UNITS or self.known.nbytes > CACHED_BYTES:
+            self._make_way()
+        self.batch += 1
+        found = pc.index_in(units, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = found < 0
+        if missing.any():
+            coded = units.filter(pa.array(missing)).dictionary_encode()
+            flat, counts = self._fresh(coded.dictionary.to_pylist())
+            found[missing] = len(self.known) + np.asarray(coded.indices)
+            self.known = pa.concat_arrays([self.known, coded.dictionary])
+            self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+            self.used = np.concatenate([self.used, np.zeros(len(counts), np.int64)])
+        self.used[found] = self.batch
+        return found
+
+    def _make_way(self) -> None:
+        """Keep the half of the cache that was used last, and no unit of many bytes."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        size = pc.binary_length(self.known).to_numpy(zero_copy_only=False)
+        order = np.argsort(-self.used, kind="stable")
+        keep = np.sort(order[(np.arange(len(order)) < CACHED_UNITS // 2) & (np.cumsum(size[order]) < CACHED_BYTES // 2)])
+        first = np.cumsum(self.counts) - self.counts
+        self.known = self.known.take(pa.array(keep))
+        self.flat, self.counts, self.used = self.flat[_ragged(first[keep], self.counts[keep])], self.counts[keep], self.used[keep]
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """``texts``: a list or an Arrow array without nulls."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        mask = lambda x: x.to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(texts), bool)
+        for content in self.special:
+            whole |= mask(pc.match_substring(texts, content, ignore_case=True))  # also in other letters: the library may normalise before it looks
+        odd = mask(pc.match_substring_regex(texts, _ODD)) & ~whole
+        plain = ~(whole | odd) & (mask(pc.binary_length(texts)) > 0)
+        parts = [pc.split_pattern(texts.filter(pa.array(plain)), " "), pa.array([_CUT.split(t) for t in texts.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string()))]
+        text = np.concatenate([np.flatnonzero(plain), np.flatnonzero(odd)])  # the text of each row of units
+        n = np.concatenate([mask(pc.list_value_length(p)) for p in parts]).astype(np.int64)
+        units = pa.concat_arrays([p.flatten() for p in parts])
+        head = np.cumsum(n) - n
+        own, own_counts = [], np.zeros(0, np.int64)  # ids that don't come from the cache: of first units, and of whole texts
+        if self.spaced:
+            first = self._library(units.take(pa.array(head)).to_pylist())
+            later = np.ones(len(units), bool)
+            later[head] = False
+            found = np.empty(len(units), np.int64)
+            found[later] = self._find(units.filter(pa.array(later)))
+            found[head] = np.arange(len(first)) + len(self.known)
+            own += first
         else:
-            pieces = self.pieces(unit)
-        if len(pieces) == 1:
-            piece = pieces[0]
-            chars = piece.encode("utf-8").decode("latin-1").translate(_BYTE_CHARS) if _ODD(piece, 1 if piece[0] == " " else 0) else piece
-            return [t.id for t in self.tokenize("Ġ" + chars[1:] if chars[0] == " " else chars)]
-        out = array("I")
-        for piece in pieces:
-            k = self.later[piece[1:]] if piece[0] == " " and self.spaced else self.first[piece]
-            start = self.starts[k]
-            out += self.flat[start : start + self.counts[k]]
-        return out
-
-    def again(self, k: int, body: str) -> int:
-        """Take over a unit of the older cache."""
-        start = self.old_starts[k]
-        return self._keep(self.old_flat[start : start + self.old_counts[k]], body)
-
-    def add(self, unit: str, body: str) -> int:
-        return self._keep(self.ids(unit), body)
-
-    def _keep(self, got: Sequence[int], body: str) -> int:
-        k = len(self.starts)
-        self.starts.append(len(self.flat))
-        self.counts.append(len(got))
-        self.bordered.append(not body or body[0].isspace() or body[-1].isspace())  # empty, or white space at an end
-        self.flat.extend(got)
-        return k
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.starts) > CACHED_UNITS:
-            self._reset()
-        first, later = self.first.__getitem__, self.later.__getitem__
-
-        def look(units: list[str]) -> np.ndarray:
-            found = np.empty(len(units), dtype=np.int32)
-            found[0] = first(units[0])
-            found[1:] = np.fromiter(map(later, units[1:]), np.int32, len(units) - 1)
-            return found
-
-        rows: list[np.ndarray] = []
-        for text in texts:
-            found = look(text.split(" "))
-            if np.frombuffer(self.bordered, np.bool_)[found].any():  # a run of white space stays whole: cut only between two other characters
-                found = look(_CUT.split(text))
-            rows.append(found)
-        if not rows:
-            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        unit = np.concatenate(rows)
-        counts = np.frombuffer(self.counts, np.int32)[unit]
-        ends = np.cumsum(counts, dtype=np.int64)
-        total = int(ends[-1])
-        if not total:
-            return np.zeros(0, dtype=np.uint32), np.zeros(len(rows), dtype=np.int64)
-        at = np.repeat((np.frombuffer(self.starts, np.int32)[unit] - (ends - counts)).astype(np.int32), counts)
-        at += np.arange(total, dtype=np.int32)
-        sums = np.concatenate([[0], ends])
-        last = np.cumsum([len(r) for r in rows])
-        per_text = np.diff(np.concatenate([[0], sums[last]]))
-        return np.frombuffer(self.flat, np.uint32)[at], per_text
+            found = self._find(units)
+        whole_ids = self._library(texts.filter(pa.array(whole)).to_pylist())
+        text, n = np.concatenate([text, np.flatnonzero(whole)]), np.concatenate([n, np.ones(len(whole_ids), np.int64)])
+        found = np.concatenate([found, np.arange(len(whole_ids)) + len(self.known) + len(own)])
+        own += whole_ids
+        own_counts = np.array([len(x) for x in own], np.int64)
+        flat = np.concatenate([self.flat, np.array([i for x in own for i in x], np.uint32)])
+        counts = np.concatenate([self.counts, own_counts])
+        first = np.cumsum(counts) - counts
+        rows = np.argsort(text, kind="stable")  # back to the order of the texts
+        unit = found[_ragged((np.cumsum(n) - n)[rows], n[rows])]
+        per_text = np.zeros(len(texts), np.int64)
+        sums = np.append(0, np.cumsum(counts[unit]))
+        ends = np.cumsum(n[rows])
+        per_text[text[rows]] = sums[ends] - sums[ends - n[rows]]
+        return flat[_ragged(first[unit], counts[unit])], per_text
 
 
 _loaded: dict[str, UnitTokenizer] = {}

@@ -53,7 +53,7 @@ def test_query_rows(spark):
     lib = Tokenizer.from_file(path)
     r = random.Random(3)
     words = "the cat sat on unbelievable mats, naïvely 12 times!".split()
-    data = [(k, " ".join(r.choices(words, k=r.randint(0, 900)))) for k in range(300)] + [(None, "null id"), (3, "again"), (3, "again"), (900, None), (901, ""), (902, "cat " * 9000)]
+    data = [(k, " ".join(r.choices(words, k=r.randint(0, 900)))) for k in range(300)] + [(None, "null id"), (3, "again"), (3, "again"), (900, None), (901, ""), (903, "a <|endoftext|> b"), (902, "cat " * 9000)]
     df = spark.createDataFrame([Row(doc_id=d, text=t, length="clash") for d, t in data], "doc_id long, text string, length string").repartition(7)
     got = packing.pack(df, path).collect()
     want = Counter()

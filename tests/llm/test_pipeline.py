@@ -47,7 +47,6 @@ def test_stages_same_as_brute_force(spark, tmp_path):
     assert set(rows[4]) == set(rows[3]) - bad
 
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    lib.encode_special_tokens = True
     pieces = kept[5].collect()
     tokens = Counter()
     for p in pieces:

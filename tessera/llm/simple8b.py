@@ -220,7 +220,7 @@ class Reader:
             start += length
 
 
-def text_slices(batches: Iterable, most: int = 8_000_000) -> Iterator:
+def text_slices(batches: Iterable, most: int = 4_000_000) -> Iterator:
     """Slices of Arrow batches, of about ``most`` bytes of text in the second column and one row at least."""
     import pyarrow.compute as pc
 

@@ -20,9 +20,11 @@ import re
 import numpy as np
 
 #: Units in a worker's cache; a full one makes way for those used last. This changes nothing but speed.
-CACHED_UNITS = 800_000
+CACHED_UNITS = 600_000
 #: Bytes of the units in it.
-CACHED_BYTES = 32_000_000
+CACHED_BYTES = 24_000_000
+#: Units that go to the library in one text: its own tables take some hundred bytes an id.
+AT_ONCE = 10_000
 
 #: All white space, as Arrow's regular expressions write it.
 _WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\pZ]"
@@ -38,7 +40,9 @@ def _ragged(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, ... ``counts[0]`` numbers, then those from first[1] on, and so forth."""
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(first - (ends - counts), counts) + np.arange(total)
+    at = np.repeat((first - (ends - counts)).astype(np.int32 if total + int(first.max(initial=0)) < 2**31 else np.int64), counts)
+    at += np.arange(total, dtype=at.dtype)
+    return at
 
 
 class UnitTokenizer:
@@ -99,11 +103,14 @@ class UnitTokenizer:
         if len(self.known) > CACHED_UNITS or self.known.nbytes > CACHED_BYTES:
             self._make_way()
         self.batch += 1
-        found = pc.index_in(units, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = pc.index_in(units, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
         missing = found < 0
         if missing.any():
             coded = units.filter(pa.array(missing)).dictionary_encode()
-            flat, counts = self._fresh(coded.dictionary.to_pylist())
+            new = coded.dictionary.to_pylist()
+            parts = [self._fresh(new[k : k + AT_ONCE]) for k in range(0, len(new), AT_ONCE)]
+            flat, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del new, parts
             found[missing] = len(self.known) + np.asarray(coded.indices)
             self.known = pa.concat_arrays([self.known, coded.dictionary])
             self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
@@ -145,7 +152,7 @@ class UnitTokenizer:
             first = self._library(units.take(pa.array(head)).to_pylist())
             later = np.ones(len(units), bool)
             later[head] = False
-            found = np.empty(len(units), np.int64)
+            found = np.empty(len(units), np.int32)
             found[later] = self._find(units.filter(pa.array(later)))
             found[head] = np.arange(len(first)) + len(self.known)
             own += first

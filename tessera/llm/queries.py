@@ -109,16 +109,18 @@ ORACLE_SQL = {
              q AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY 1)
         SELECT doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN q USING (doc_id)""",
     "op6_tool_calls": """
-        WITH c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+        WITH RECURSIVE c AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+             l AS (SELECT conv_id, turn, 0 AS level FROM c WHERE turn < 2 OR NOT EXISTS (SELECT 1 FROM c d WHERE d.conv_id = c.conv_id AND d.turn = c.turn - 2)
+                   UNION ALL SELECT c.conv_id, c.turn, l.level + 1 FROM l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2 WHERE c.turn >= 2),
              a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant' AND turn >= 1),
              calls AS (
-                 SELECT c.conv_id, c.turn, 0 AS idx, 'call' AS kind, 0 AS level, a.conv_id IS NOT NULL AS linked, length(c.text) >= 1 AND c.turn >= 0 AS valid,
+                 SELECT c.conv_id, c.turn, 0 AS idx, 'call' AS kind, l.level, a.conv_id IS NOT NULL AS linked, length(c.text) >= 1 AND c.turn >= 0 AS valid,
                         '{"arguments":{"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '},"depends_on":['
                         || CASE WHEN c.turn >= 2 THEN '"' || c.conv_id || ':' || (c.turn - 2) || '"' ELSE '' END
                         || '],"id":"' || c.conv_id || ':' || c.turn || '","name":"respond","result":'
                         || CASE WHEN a.conv_id IS NULL THEN 'null' ELSE '{"content":' || CAST(to_json(a.text) AS VARCHAR) || ',"turn":' || a.turn || '}' END
                         || ',"valid":' || CASE WHEN length(c.text) >= 1 AND c.turn >= 0 THEN 'true' ELSE 'false' END || '}' AS json
-                 FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1),
+                 FROM c JOIN l USING (conv_id, turn) LEFT JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1),
              orphans AS (
                  SELECT conv_id, turn, 0, 'orphan', 0, CAST(NULL AS BOOLEAN), CAST(NULL AS BOOLEAN),
                         '{"id":"' || conv_id || ':' || (turn - 1) || '","result":{"content":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '}}'

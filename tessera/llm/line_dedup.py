@@ -1,6 +1,6 @@
 """Line dedup: range-partitioned line hashes, streamed in order, to keep bitmaps.
 
-Each document gives the 128-bit hash of the key of each line. The rows (hash,
+Each document gives two independent 64-bit hashes of the key of each line. The rows (hash,
 document, position) are dealt by ranges of all three, so that even a line that a
 third of all documents hold spreads over many tasks, and sorted the same way. A
 task streams its range: it holds the rows of a line only until enough documents
@@ -27,6 +27,7 @@ from tessera.llm.common import importable, written
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCS = 10
+#: Goes before the key in the second hash, so that keys of one first hash don't share it.
 _SEED = 42
 VERDICTS = "h1 long, h2 long, id long, tag long, pos int, drop boolean, part int, docs int, edge int"
 
@@ -39,10 +40,19 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
 
 
+def first_hash(key: Column) -> Column:
+    return F.xxhash64(key)
+
+
+def second_hash(key: Column) -> Column:
+    """Seeded by a constant: were the key hashed first, this would follow from the first hash."""
+    return F.xxhash64(F.lit(_SEED), key)
+
+
 def line_rows(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """h1, h2, id, tag and pos of every line whose key has ``least`` code points; (id, tag) names a document."""
     one = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.posexplode(F.transform(lines(F.col(text_col)), line_key)).alias("pos", "key"))
-    return one.filter(F.length("key") >= least).select(F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(_SEED)).alias("h2"), "id", "tag", "pos")
+    return one.filter(F.length("key") >= least).select(first_hash(F.col("key")).alias("h1"), second_hash(F.col("key")).alias("h2"), "id", "tag", "pos")
 
 
 class Stream:
@@ -198,7 +208,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = 1, id_c
     doc_id with different texts are different documents, repeated rows are one.
     Bits after ``n_bits`` (the last dropped line) are kept lines.
     """
-    judged = written(verdicts(line_rows(docs, id_col, text_col, least), min_docs), "line-verdicts")
+    rows = written(line_rows(docs, id_col, text_col, least), "line-hashes")  # read twice: for the ranges' borders, and to be dealt
+    judged = written(verdicts(rows, min_docs), "line-verdicts")
     per_doc = dropped_rows(judged, min_docs).groupBy("id", "tag").agg(F.collect_set("pos").alias("drop"))
     sized = per_doc.withColumn("n_bits", F.array_max("drop") + 1)
     return sized.select("id", "tag", "n_bits", _bitmap("drop", "n_bits").alias("keep"))
@@ -227,8 +238,10 @@ def kept_text(text: str | None, keep: bytes | None, n_bits: int | None) -> tuple
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = 1) -> DataFrame:
     """``docs`` without the lost lines, all columns as they were; n_chars, if present, follows the text.
 
-    Null text stays null; a text that loses every line is empty. An empty table
-    stays empty. No other column of ``docs`` is read.
+    Null text stays null; a text that loses every line is empty. Rows of one doc_id, or
+    of none, are told apart by their text; repeated rows are one document. A text of any
+    length is one row of its lines' hashes; an empty table stays empty. No other
+    column of ``docs`` is read, whatever its name.
     """
     importable(docs.sparkSession)
     joined = with_bitmaps(docs, keep_bitmaps(docs, min_docs, least))
@@ -245,7 +258,7 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = 1) -> Dat
 
 
 def line_digest(docs: DataFrame, min_docs: int = MIN_DOCS, least: int = 1) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept_sha256 of every row; null text is one empty line."""
+    """doc_id, n_lines, n_dropped and kept_sha256 of every row; null text is one empty line; else as ``line_dedup``."""
     importable(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 

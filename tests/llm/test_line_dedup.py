@@ -74,3 +74,21 @@ def test_table_form_and_empty(spark):
     assert got[20].text is None and got[21].text == ""
     assert ld.line_dedup(df).columns == df.columns
     assert ld.line_digest(df.limit(0)).collect() == [] and ld.line_dedup(df.limit(0)).collect() == []
+
+
+def test_lines_of_one_first_hash_are_told_apart(spark, monkeypatch):
+    """Two lines of six documents each that share the first hash both stay."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ld, "first_hash", lambda key: F.lit(7).cast("long"))
+    data = [(k, f"{'one' if k < 6 else 'two'}\nown {k}") for k in range(12)] + [(k, f"shared\nown {k}") for k in range(20, 30)]
+    got = {r.doc_id: r.n_dropped for r in ld.line_digest(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {k: int(k >= 20) for k, _ in data}
+
+
+def test_second_hash_does_not_follow_from_the_first(spark):
+    """The hash of the key after a constant is not the hash that the first one gives as a seed."""
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([("a",), ("b",)], "key string").select(ld.second_hash(F.col("key")).alias("h"), F.xxhash64("key", F.lit(ld._SEED)).alias("chained")).collect()
+    assert all(r.h != r.chained for r in row)

@@ -22,14 +22,26 @@ def brute(data):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("buckets", [None, 3, 50])
-def test_same_as_brute_force(spark, monkeypatch, buckets):
+@pytest.mark.parametrize("buckets", [None, 1, 3, 50])
+def test_same_as_brute_force(spark, buckets):
     """With few buckets chunk hashes collide; the result is the same."""
-    hashed = F.xxhash64 if buckets is None else lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
-    if buckets == 50:
-        monkeypatch.setattr(ed, "NAMED", 2)
+    hashed = ed.chunk_hashes if buckets is None else lambda c: F.struct(F.pmod(F.xxhash64(c), F.lit(buckets)).alias("h"))
     df = spark.createDataFrame([(*r, 1) for r in DATA], "doc_id long, text string, recipe int").repartition(3)
-    assert sorted((tuple(r) for r in ed.exact_dedup(df, chunk_hash=hashed).collect()), key=str) == brute(DATA)
+    assert sorted((tuple(r) for r in ed.exact_dedup(df, identify=hashed).collect()), key=str) == brute(DATA)
+
+
+def test_order_of_clashing_chunks_counts(spark):
+    """Texts of the same colliding chunks in another order, or one of them twice, are different."""
+    a, b = ("a" * 200 + ". "), ("b" * 200 + ". ")
+    data = [(1, a + b), (2, b + a), (3, a + b), (4, a + a), (5, b + b), (6, a + a)]
+    got = ed.exact_dedup(spark.createDataFrame(data, "doc_id long, text string"), identify=lambda c: F.struct(F.lit(1).alias("h"))).collect()
+    assert {r.doc_id: r.keep_id for r in got} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5, 6: 4}
+
+
+def test_hashes_are_independent(spark):
+    """The second hash is no function of the first: neither is the other's seed."""
+    r = spark.createDataFrame([("x",)], "c string").select(ed.chunk_hashes(F.col("c")).alias("h"), F.xxhash64("c", F.lit(ed.SEEDS[1])).alias("chained")).first()
+    assert len({r.h.h0, r.h.h1, r.chained}) == 3
 
 
 def test_chunks_are_the_text(spark):

@@ -20,9 +20,9 @@ import re
 import numpy as np
 
 #: Units in a worker's cache; a full one makes way for those used last. This changes nothing but speed.
-CACHED_UNITS = 600_000
+CACHED_UNITS = 900_000
 #: Bytes of the units in it.
-CACHED_BYTES = 24_000_000
+CACHED_BYTES = 36_000_000
 #: Units that go to the library in one text: its own tables take some hundred bytes an id.
 AT_ONCE = 10_000
 

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
-from tessera.llm.decontam import BEFORE, MASKS, SIMILARITY, SPAN, WINDOW, leaks
+from tessera.llm.decontam import BEFORE, MASKS, SIMILARITY, WINDOW, leaks
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.html_graph import extract
 from tessera.llm.line_dedup import line_digest
@@ -84,19 +82,28 @@ _SPANS = f"[{', '.join(str(max(mask)) for mask in MASKS)}]"
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 
 ORACLE_SQL = {
-    # for items of at least SPAN words, as all of the test tables' items are
     "op7_decontamination": f"""
         WITH b AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark),
              d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-             bp AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM b WHERE len(w) >= {SPAN}),
+             bp AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM b),
              dp AS (SELECT r, doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
              m AS (SELECT unnest(range({len(MASKS)})) AS k),
              bk AS (SELECT item_id, w AS bw, i AS j, k, CASE k {_MASKED} END AS key FROM bp, m WHERE i + {_SPANS}[k + 1] <= len(w)),
              dk AS (SELECT r, doc_id, i, k, CASE k {_MASKED} END AS key FROM dp, m WHERE i + {_SPANS}[k + 1] <= len(w)),
              h AS (SELECT dk.doc_id, d.w AS dw, bw, item_id, i, j FROM dk JOIN bk USING (k, key) JOIN d USING (r)),
-             f AS (SELECT doc_id, item_id, list_transform(range(-{BEFORE}, {WINDOW}), lambda x: CASE WHEN i + x >= 1 AND j + x >= 1 AND dw[i + x] = bw[j + x] THEN 1 ELSE 0 END) AS same FROM h),
-             g AS (SELECT doc_id, item_id, list_max(list_transform(range(1, {BEFORE + 2}), lambda s: list_sum(same[s:s + {WINDOW - 1}]))) AS agreeing FROM f)
-        SELECT doc_id, item_id, count(*) AS n_hits, CAST(max(agreeing) AS INTEGER) AS agreeing FROM g WHERE agreeing >= {math.ceil(WINDOW * SIMILARITY)} GROUP BY 1, 2""",
+             f AS (SELECT doc_id, item_id, len(bw) AS n, list_transform(range(-{BEFORE}, {WINDOW}), lambda x: CASE WHEN i + x >= 1 AND j + x >= 1 AND dw[i + x] = bw[j + x] THEN 1 ELSE 0 END) AS same FROM h),
+             g AS (SELECT doc_id, item_id, n, list_max(list_transform(range(1, {BEFORE + 2}), lambda s: list_sum(same[s:s + {WINDOW - 1}]))) AS agreeing FROM f),
+             passages AS (SELECT doc_id, item_id, count(*) AS n_hits, CAST(max(agreeing) AS INTEGER) AS agreeing FROM g WHERE agreeing >= ceil(least(n, {WINDOW}) * {SIMILARITY}) GROUP BY 1, 2),
+             bi AS (SELECT row_number() OVER () AS item, item_id, w, len(w) AS n FROM b),
+             bw AS (SELECT item, n, unnest(w) AS word, unnest(range(n)) AS j FROM bi),
+             dw AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+             x AS (SELECT r, item, n, i - j AS diagonal, j FROM dw JOIN bw USING (word)),
+             y AS (SELECT r, item, n, diagonal, count(*) AS same FROM x GROUP BY ALL HAVING count(*) * 5 >= n * 4),
+             pieces AS (SELECT item, n, k, k * n // (n // 5 + 1) AS lo, (k + 1) * n // (n // 5 + 1) AS hi FROM (SELECT item, n, unnest(range(n // 5 + 1)) AS k FROM bi WHERE n > 0) t),
+             z AS (SELECT r, item, diagonal, same, k FROM y JOIN x USING (r, item, diagonal) JOIN pieces p USING (item) WHERE j >= lo AND j < hi GROUP BY r, item, diagonal, same, k, hi - lo HAVING count(*) = hi - lo),
+             items AS (SELECT doc_id, item_id, count(*) AS n_hits, CAST(max(same) AS INTEGER) AS agreeing FROM z JOIN d USING (r) JOIN bi USING (item) GROUP BY 1, 2)
+        SELECT * FROM passages UNION ALL
+        SELECT * FROM items i WHERE NOT EXISTS (SELECT 1 FROM passages p WHERE p.doc_id IS NOT DISTINCT FROM i.doc_id AND p.item_id IS NOT DISTINCT FROM i.item_id)""",
     "op9_ngram_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
              g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM w WHERE len(w) > 0) p),

@@ -1,8 +1,9 @@
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import Row
 
 from tessera.llm import decontam as dc
@@ -13,40 +14,45 @@ def words(text):
 
 
 def brute(docs, items):
-    keys, short = defaultdict(set), set()
-    bench = {(i, tuple(words(t))) for i, t in items if len(words(t)) >= dc.LEAST_WORDS}
+    """Passages by the seeds' own rule, and items as a whole on every diagonal."""
+    keys = defaultdict(set)
+    bench = {(i, tuple(words(t))) for i, t in items if words(t)}
     for i, w in bench:
-        if len(w) < dc.SPAN:
-            short.add(len(w))
-            keys[(-len(w), w)].add((i, w, 0))
-        else:
-            for j in range(len(w)):
-                for k, mask in enumerate(dc.MASKS):
-                    if j + max(mask) < len(w):
-                        keys[(k, tuple(w[j + o] for o in mask))].add((i, w, j))
-    out = defaultdict(lambda: [0, 0])
+        for j in range(len(w)):
+            for k, mask in enumerate(dc.MASKS):
+                if j + max(mask) < len(w):
+                    keys[(k, tuple(w[j + o] for o in mask))].add((i, w, j))
+    out, whole = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
     for d, t in docs:
         w = words(t)
         for p in range(len(w)):
-            cand = [(k, tuple(w[p + o] for o in mask)) for k, mask in enumerate(dc.MASKS) if p + max(mask) < len(w)]
-            cand += [(-n, tuple(w[p : p + n])) for n in short if p + n <= len(w)]
-            for c in cand:
+            for c in [(k, tuple(w[p + o] for o in mask)) for k, mask in enumerate(dc.MASKS) if p + max(mask) < len(w)]:
                 for i, b, j in keys.get(c, ()):
                     width = min(dc.WINDOW, len(b))
                     best = 0
                     for s in range(max(0, j - dc.BEFORE), min(j, len(b) - width) + 1 if j <= len(b) - width else len(b) - width + 1):
                         best = max(best, sum(0 <= p - j + x < len(w) and w[p - j + x] == b[x] for x in range(s, s + width)))
-                    if best >= math.ceil(width * dc.SIMILARITY) and (len(b) >= dc.SPAN or best == len(b)):
+                    if best >= math.ceil(width * dc.SIMILARITY):
                         out[(d, i)][0] += 1
                         out[(d, i)][1] = max(out[(d, i)][1], best)
-    return sorted(((d, i, *v) for (d, i), v in out.items()), key=str)
+        at = defaultdict(list)
+        for p, x in enumerate(w):
+            at[x].append(p)
+        for i, b in bench:
+            n, parts = len(b), len(b) // 5 + 1
+            for first, same in Counter(p - j for j, x in enumerate(b) for p in at.get(x, ())).items():
+                if same * 5 >= n * 4:
+                    agree = [0 <= first + j < len(w) and w[first + j] == b[j] for j in range(n)]
+                    whole[(d, i)][0] += sum(all(agree[k * n // parts : (k + 1) * n // parts]) for k in range(parts))
+                    whole[(d, i)][1] = max(whole[(d, i)][1], same)
+    return sorted(((d, i, *v) for (d, i), v in (whole | out).items()), key=str)
 
 
 def corpus():
     r = random.Random(5)
     vocab = [f"w{k}é" for k in range(40)] + ["the", "of", "x1"]
     text = lambda n: [r.choice(vocab) for _ in range(n)]
-    items = [(k, " ".join(text(r.choice([6, 9, 12, 15, 30, 60])))) for k in range(25)] + [(30, "too short text"), (31, None), (32, ""), (3, " ".join(text(40)))]
+    items = [(40, "of x1"), (41, "sub"), *((k, " ".join(text(r.choice([3, 4, 6, 8, 9, 12, 15, 30, 60])))) for k in range(25)), (30, "too short text"), (31, None), (32, ""), (3, " ".join(text(40)))]
     items += [items[4], (None, " ".join(text(20)))]
     docs = []
     for k in range(150):
@@ -68,19 +74,14 @@ def test_same_as_brute_force(spark):
     want = brute(docs, items)
     assert len(want) > 30
     for at_once in (dc.SEEDS, 300):
-        assert sorted((tuple(x) for x in dc.contamination(d, b, at_once).collect()), key=str) == want
+        assert sorted((tuple(x) for x in dc.leaks(d, b, at_once).collect()), key=str) == want
     bad = {w[0] for w in want}
-    left = dc.decontaminated(d, b)
+    left = dc.without_leaks(d, b)
     assert left.columns == d.columns
-    assert sorted(str(x.doc_id) for x in left.collect()) == sorted(str(a) for a, _ in docs if a not in bad)
-    assert dc.contamination(d.limit(0), b).collect() == [] and dc.contamination(d, b.limit(0)).collect() == []
-
-
-def test_same_as_brute_force_without_short_items(spark):
-    docs, items = corpus()
-    items = [x for x in items if len(words(x[1])) >= dc.SPAN]
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert sorted((tuple(x) for x in dc.contamination(d, b).collect()), key=str) == brute(docs, items)
+    by_row = {k for k, x in enumerate(docs) if brute([x], items)}
+    assert sorted(str(tuple(x)[:2]) for x in left.collect()) == sorted(str(x) for k, x in enumerate(docs) if k not in by_row)
+    assert {docs[k][0] for k in by_row} == bad
+    assert dc.leaks(d.limit(0), b).collect() == [] and dc.leaks(d, b.limit(0)).collect() == []
 
 
 def test_substitutions(spark):
@@ -89,7 +90,7 @@ def test_substitutions(spark):
     every3 = [x if k % 3 else "zz" for k, x in enumerate(item)]
     d = spark.createDataFrame([(1, " ".join(["q"] * 30 + every5)), (2, " ".join(every3)), (3, " ".join(item[:12])), (4, " ".join(item[7:20]))], "doc_id long, text string")
     b = spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")
-    assert {r.doc_id for r in dc.contamination(d, b).collect()} == {1, 3, 4}
+    assert {r.doc_id for r in dc.leaks(d, b).collect()} == {1, 3, 4}
 
 
 def test_rows_not_ids_are_judged(spark):
@@ -97,7 +98,7 @@ def test_rows_not_ids_are_judged(spark):
     rows = [(None, item), (None, "clean text"), (None, None), (1, f"so {item}"), (1, "another clean text"), (2, "clean text")]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     b = spark.createDataFrame([(9, item)], "item_id long, text string")
-    left = [tuple(r) for r in dc.decontaminated(d, b).collect()]
+    left = [tuple(r) for r in dc.without_leaks(d, b).collect()]
     assert sorted(left, key=str) == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
 
 
@@ -122,19 +123,27 @@ def test_whole_items_with_any_fifth_of_words_substituted(spark):
         got = dc.leaks(d, b, at_once).collect()
         assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == len(want)
     assert {x.doc_id for x in dc.without_leaks(d, b).collect()} == {x[0] for x in docs} - {w[0] for w in want}
-    assert {(x.doc_id, x.item_id) for x in dc.contamination(d, b).collect()} < want
     assert dc.leaks(d.limit(0), b).collect() == [] and dc.leaks(d, b.limit(0)).collect() == []
 
 
-def test_leaks_keep_the_passages(spark):
-    docs, items = corpus()
-    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert {tuple(x) for x in dc.contamination(d, b).collect()} <= {tuple(x) for x in dc.leaks(d, b).collect()}
-
-
 def test_short_items(spark):
-    items = {n: [f"s{n}x{k}" for k in range(n)] for n in (4, 5, 9, 10, 11)}
-    swap = lambda n, *at: " ".join("zz" if k in at else x for k, x in enumerate(items[n]))
-    docs = [(1, swap(9, 4)), (2, swap(10, 3, 6)), (3, swap(11, 4, 6)), (4, swap(5, 2)), (5, swap(9, 1, 5)), (6, swap(4)), (7, swap(11, 1, 4, 8))]
+    items = {n: [f"s{n}x{k}" for k in range(n)] for n in range(1, 12)}
+    swap = lambda n, *at: " ".join(["and", *("zz" if k in at else x for k, x in enumerate(items[n])), "so"])
+    docs = [(1, swap(9, 4)), (2, swap(10, 3, 6)), (3, swap(11, 4, 6)), (4, swap(5, 2)), (5, swap(9, 1, 5)), (7, swap(11, 1, 4, 8))]
+    docs += [(20 + n, swap(n)) for n in items] + [(40 + n, swap(n, 0)) for n in range(1, 5)]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
-    assert {(x.doc_id, x.item_id, x.agreeing) for x in dc.leaks(d, b).collect()} == {(1, 9, 8), (2, 10, 8), (3, 11, 9), (4, 5, 4)}
+    want = {(1, 9, 8), (2, 10, 8), (3, 11, 9), (4, 5, 4)} | {(20 + n, n, n) for n in items}
+    assert {(x.doc_id, x.item_id, x.agreeing) for x in dc.leaks(d, b).collect()} == want
+
+
+def test_sql_has_the_same_rule(spark):
+    """The registered SQL gives what the operator does, short items, ties and repeated rows among them."""
+    duckdb = pytest.importorskip("duckdb")
+    from tessera.llm.queries import ORACLE_SQL
+
+    docs, items = corpus()
+    db = duckdb.connect()
+    for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+        db.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        db.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    assert sorted(db.sql(ORACLE_SQL["op7_decontamination"]).fetchall(), key=str) == brute(docs, items)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -65,6 +66,61 @@ def test_held_out_accuracy_and_edges(spark):
     assert tx.toxicity(df.limit(0), lab).collect() == []
 
 
+def test_ratios_weights_and_scores_same_as_brute_force(monkeypatch):
+    """Ratios from counted sets, weights from plain proximal steps over all features, scores as sums over sets."""
+    monkeypatch.setattr(tx, "AT_ONCE", 7)
+    docs, labels = corpus(60)
+    texts, y = [t[:80] for _, t in docs], np.array([t for *_, t in labels], float)
+    own = [sorted(b for k, b in brute_hits([t])) for t in texts]
+    totals = {0: 300, 1: 20}
+    n = {k: int((y == k).sum()) for k in (0, 1)}
+    ratio = {}
+    for b in sorted(set().union(*own)):
+        p, q = (sum(b in f for f, label in zip(own, y) if label == k) for k in (1, 0))
+        ratio[b] = math.log((p + 1) / (n[1] + 2)) - math.log((q + 1) / (n[0] + 2))
+    ends, column = np.cumsum([len(f) for f in own]), np.concatenate(own).astype(np.int32)
+    got = tx.log_ratios(ends, column, y)
+    assert set(np.flatnonzero(got)) <= set(ratio) and all(abs(got[b] - r) < 1e-12 for b, r in ratio.items())
+
+    names = list(ratio)
+    x = np.array([[ratio[b] if b in set(f) else 0.0 for b in names] for f in own])
+    weight = np.where(y == 1, totals[1] / n[1], totals[0] / n[0])
+    weight /= weight.sum()
+    w, b = np.zeros(len(names)), 0.0
+    steep = 0.3 * np.linalg.norm((x * weight[:, None]).T @ x, 2)
+    for _ in range(60_000):
+        e = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w = w - x.T @ e / steep
+        w = np.sign(w) * np.maximum(np.abs(w) - tx.PENALTY / steep, 0)
+        b -= e.sum() / 0.3
+    model = tx.learn([np.array(f) for f in own], y, totals)
+    loss = lambda z, size: -(weight * (y * np.log(z) + (1 - y) * np.log(1 - z))).sum() + tx.PENALTY * size
+    z = 1 / (1 + np.exp(-(x @ w + b)))
+    scores = tx.score_texts(model, texts)
+    mine = np.array([1 / (1 + math.exp(-model.intercept - sum(float(model.weights[b]) for b in f))) for f in own])
+    assert np.allclose(scores, mine, atol=1e-6) and np.allclose(scores, z, atol=0.02)
+    size = sum(abs(float(model.weights[b]) / r) for b, r in ratio.items() if r)
+    assert loss(scores, size) < loss(z, np.abs(w).sum()) * 1.01
+    assert 0 < np.count_nonzero(model.weights) < len(names)
+
+
+def test_sample_is_bounded_and_whole(spark):
+    docs, labels = corpus(400)
+    docs += [(9, "short")] * 50
+    df, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    known = dict(docs[:400]) | {9: "short"}
+    rows, totals = tx.training_rows(df, lab, 30, 4000)
+    got = rows.collect()
+    for label in (0, 1):
+        sizes = [len(r.text) for r in got if r.toxic == label]
+        assert 0 < len(sizes) <= 30 and sum(sizes) - max(sizes) < 4000
+    assert all(r.text == known[r.doc_id] for r in got) and len({r.doc_id for r in got}) == len(got)
+    learnable = [k for k, *_ in labels if zlib.crc32(str(k).encode()) % 5]
+    assert sum(totals.values()) == len(learnable)
+    rows, _ = tx.training_rows(df, lab, 1000, 10**9)
+    assert {r.doc_id for r in rows.collect()} == set(learnable)
+
+
 def test_labels_of_held_out_rows_do_not_count(spark):
     docs, labels = corpus(400)
     df = spark.createDataFrame(docs, "doc_id long, text string")

@@ -15,6 +15,7 @@ and the manifests that Spark commits name those that count.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -35,6 +36,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Equal payloads under this many bytes are all kept.
 LEAST = 100
 PIECE = 1 << 20
+#: Longer header lines are malformed.
+HEADER = 1 << 20
 LEVEL = 1
 
 
@@ -51,63 +54,117 @@ def member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def members(file) -> Iterator[tuple[int, int, bytes]]:
-    """Offset, stored length and bytes of each gzip member; a file without gzip is one member."""
-    at, held = 0, file.read(PIECE)
-    if held and held[:2] != b"\x1f\x8b":
-        yield 0, 0, held + file.read()
-        return
-    while held:
-        d, out, used = zlib.decompressobj(31), [], 0
-        while True:
-            out.append(d.decompress(held))
-            if d.eof:
-                used += len(held) - len(d.unused_data)
-                held = d.unused_data or file.read(PIECE)
-                break
-            used += len(held)
-            if not (held := file.read(PIECE)):
-                raise ValueError(f"the archive ends within the member at {at}")
-        yield at, used, b"".join(out)
-        at += used
-
-
-def _head(data: bytes, at: int, fields: tuple[str, ...]) -> tuple[dict[str, str], int]:
-    end = data.find(b"\n", at)
-    if end < 0:
-        raise ValueError("a record without a header line")
-    parts = data[at:end].decode("utf-8").rstrip("\r").rsplit(" ", len(fields) - 1)  # an address may hold spaces
-    if len(parts) != len(fields) or not parts[-1].isdigit():
-        raise ValueError(f"a malformed header line: {data[at:end][:200]!r}")
-    return dict(zip(fields, parts, strict=True)), end + 1
+class Stream:
+    """Bytes of an archive, packed in gzip members or not, a piece in memory at a time."""
+
+    def __init__(self, file):
+        self.file, self.raw, self.held = file, b"", b""
+        self.member = 0  # where the member of the next byte begins
+        self.read_so_far = self.taken = 0
+        while len(self.raw) < 2 and self._more_raw():
+            pass
+        self.packed = self.raw[:2] == b"\x1f\x8b"
+        self.unpacker = None
+
+    def _more_raw(self) -> int:
+        got = self.file.read(PIECE)
+        self.read_so_far += len(got)
+        self.raw += got
+        return len(got)
+
+    def fill(self, n: int) -> bool:
+        """Hold at least ``n`` bytes of one member, or of the whole file if it is not packed."""
+        while len(self.held) < n:
+            if not self.packed:
+                if not self.raw:
+                    self._more_raw()
+                if not self.raw:
+                    return False
+                self.held, self.raw = self.held + self.raw, b""
+                continue
+            if self.unpacker is None:
+                if self.held:
+                    return False  # a member ends here
+                if not self.raw:
+                    self._more_raw()
+                if not self.raw:
+                    return False
+                self.member, self.taken, self.unpacker = self.read_so_far - len(self.raw), 0, zlib.decompressobj(31)
+            if not self.raw:
+                self._more_raw()
+                if not self.raw:
+                    raise ValueError(f"the archive ends within the member at {self.member}")
+            data, self.raw = self.raw, b""
+            try:
+                self.held += self.unpacker.decompress(data, max(PIECE, n - len(self.held)))
+            except zlib.error as broken:
+                raise ValueError(f"the member at {self.member} is damaged: {broken}") from None
+            self.raw = self.unpacker.unconsumed_tail or self.unpacker.unused_data
+            if self.unpacker.eof:
+                self.unpacker = None
+        return True
+
+    def at(self) -> int:
+        """The place of the next byte: of its member in the file, plus its place in the member."""
+        return self.member + self.taken
+
+    def take(self, n: int) -> bytes:
+        out, self.held = self.held[:n], self.held[n:]
+        self.taken += len(out)
+        return out
+
+    def through(self, end: bytes, most: int) -> bytes:
+        """The bytes to the next ``end`` and with it; ValueError if there is none."""
+        looked = 0
+        while (k := self.held.find(end, max(0, looked - len(end)))) < 0:
+            looked = len(self.held)
+            if looked > most or not self.fill(looked + 1):
+                raise ValueError(f"no end of a header at {self.at()}")
+        return self.take(k + len(end))
+
+    def content(self, n: int) -> bytes:
+        if not self.fill(n):
+            raise ValueError(f"the record at {self.at()} declares {n} bytes but has {len(self.held)}")
+        return self.take(n)
+
+    def skip(self, what: bytes) -> bool:
+        """Pass over any of these bytes; False at the end of the file."""
+        while self.fill(1):
+            if self.held[:1] not in what:
+                return True
+            self.take(1)
+        return False
+
+
+def _head(line: bytes, fields: tuple[str, ...]) -> dict[str, str]:
+    parts = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", len(fields) - 1)  # an address may hold spaces
+    if len(parts) != len(fields) or not parts[-1].isdecimal():
+        raise ValueError(f"a malformed header line: {line[:200]!r}")
+    return dict(zip(fields, parts, strict=True))
 
 
 def arc_records(file) -> Iterator[ArcRecord]:
-    """All records of an ARC file but its version block; ValueError if it is malformed."""
-    version = 0
-    for offset, _, data in members(file):
-        at = 0
-        while at < len(data):
-            if data[at : at + 1] in (b"\n", b"\r"):  # separators between records
-                at += 1
-                continue
-            start = at
-            if not version:
-                if not data.startswith(b"filedesc://"):
-                    raise ValueError("an ARC file begins with a filedesc record")
-                line, after = data.split(b"\n", 2)[:2]
-                version = int(after.split(b" ", 1)[0])
-                if version not in ARC_FIELDS:
-                    raise ValueError(f"ARC version {version} is unknown")
-                head, at = _head(data, at, ARC_FIELDS[version if len(line.split(b" ")) >= len(ARC_FIELDS[version]) else 1])
-                at += int(head["Archive-length"])
-                continue
-            head, at = _head(data, at, ARC_FIELDS[version])
-            length = int(head["Archive-length"])
-            if at + length > len(data):
-                raise ValueError(f"the record at {offset + start} declares {length} bytes but has {len(data) - at}")
-            yield ArcRecord(version, offset + start, head, data[at : at + length])
-            at += length
+    """All records of an ARC file but its version block, one in memory at a time; ValueError if it is malformed.
+
+    A record's place is that of its gzip member, or its own in a file without gzip or in a member of many.
+    """
+    stream = Stream(file)
+    if not stream.skip(b"\r\n"):
+        return
+    line = stream.through(b"\n", HEADER)
+    if not line.startswith(b"filedesc://"):
+        raise ValueError("an ARC file begins with a filedesc record")
+    after = stream.through(b"\n", HEADER)
+    number = after.split(b" ", 1)[0].strip()
+    version = int(number) if number.isdigit() else 0
+    if version not in ARC_FIELDS:
+        raise ValueError(f"ARC version {number[:20]!r} is unknown")
+    head = _head(line, ARC_FIELDS[version if len(line.split(b" ")) >= len(ARC_FIELDS[version]) else 1])
+    stream.content(max(0, int(head["Archive-length"]) - len(after)))
+    while stream.skip(b"\r\n"):  # separators between records
+        offset = stream.at()
+        head = _head(stream.through(b"\n", HEADER), ARC_FIELDS[version])
+        yield ArcRecord(version, offset, head, stream.content(int(head["Archive-length"])))
 
 
 def split_http(content: bytes) -> tuple[bytes, bytes]:
@@ -160,21 +217,14 @@ def to_warc(record: ArcRecord, path: str, refers: tuple[str, str] | None = None)
 
 
 def warc_records(file) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields (lower-case names) and block of each WARC record."""
-    for _, _, data in members(file):
-        at = 0
-        while at < len(data):
-            end = data.index(b"\r\n\r\n", at)
-            first, *lines = data[at:end].decode("utf-8").split("\r\n")
-            if not first.startswith("WARC/"):
-                raise ValueError(f"no WARC record: {first[:100]!r}")
-            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-            length = int(fields["content-length"])
-            block = data[end + 4 : end + 4 + length]
-            if len(block) != length:
-                raise ValueError("a WARC record is shorter than it declares")
-            yield fields, block
-            at = end + 4 + length + 4
+    """Fields (lower-case names) and block of each WARC record, one in memory at a time."""
+    stream = Stream(file)
+    while stream.skip(b"\r\n"):
+        first, *lines = stream.through(b"\r\n\r\n", HEADER).decode("utf-8").strip().split("\r\n")
+        if not first.startswith("WARC/"):
+            raise ValueError(f"no WARC record: {first[:100]!r}")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        yield fields, stream.content(int(fields["content-length"]))
 
 
 def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -211,8 +261,22 @@ def write_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return written(rows.mapInArrow(write, "path string, n_records long"), "arc-manifest")
 
 
-def _each_file(manifest: DataFrame) -> DataFrame:
-    return manifest.select("path").repartitionByRange(max(1, manifest.count()), "path")
+def _each_file(manifest: DataFrame, *more: str) -> DataFrame:
+    """The files of a manifest, a task each."""
+    return manifest.select("path", *more).repartitionByRange(max(1, manifest.count()), "path")
+
+
+#: Rows of an Arrow batch that a reader returns at once.
+ROWS = 5_000
+
+
+def _batches(rows: Iterable[tuple], schema) -> Iterator:
+    """Arrow batches of rows."""
+    import pyarrow as pa
+
+    rows = iter(rows)
+    while own := list(itertools.islice(rows, ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*own, strict=True), schema, strict=True)], schema=schema)
 
 
 def read_arc(manifest: DataFrame) -> DataFrame:
@@ -221,20 +285,22 @@ def read_arc(manifest: DataFrame) -> DataFrame:
     schema = "page_id long, path string, offset long, url string, date string, payload_bytes long, payload_digest string"
 
     def read(batches: Iterable) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
+
+        types = pa.schema([("page_id", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+
+        def rows(path: str) -> Iterator[tuple]:
+            with open_input(path) as file:
+                for r in arc_records(file):
+                    head, payload = split_http(r.content)
+                    page = head_value(head, b"X-Page-Id")
+                    yield int(page) if page else None, path, r.offset, r.fields["URL"], r.fields["Archive-date"], len(payload), hashlib.sha256(payload).hexdigest()
 
         for batch in batches:
-            for path in batch["path"]:
-                rows = []
-                with open_input(path) as file:
-                    for r in arc_records(file):
-                        head, payload = split_http(r.content)
-                        page = head_value(head, b"X-Page-Id")
-                        rows.append((int(page) if page else None, path, r.offset, r.fields["URL"], r.fields["Archive-date"], len(payload), hashlib.sha256(payload).hexdigest()))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-                yield out.astype({"page_id": "Int64"})
+            for path in batch.column(0).to_pylist():
+                yield from _batches(rows(path), types)
 
-    return _each_file(manifest).mapInPandas(read, schema)
+    return _each_file(manifest).mapInArrow(read, schema)
 
 
 def first_of_equals(records: DataFrame, least: int = LEAST) -> DataFrame:
@@ -246,42 +312,49 @@ def first_of_equals(records: DataFrame, least: int = LEAST) -> DataFrame:
     return joined.select(*records.columns, F.when(~own, F.col("ref")).alias("ref"))
 
 
-def convert(records: DataFrame) -> DataFrame:
-    """Write the WARC record of every ARC record; returns the manifest of the WARC files."""
+def convert(records: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Write a WARC file for each ARC file of the manifest ``arcs``, each by a task of its own; returns their manifest.
+
+    ``records``: path, offset and ref of the ARC records. Only the references of revisits move: a file's are
+    dealt to its task in the order of the file and merged with the records as they stream by.
+    """
     spark = records.sparkSession
     importable(spark)
     folder = new_dir(spark, "warc")
 
     def write(batches: Iterable) -> Iterator:
-        import pandas as pd
-        from pyspark import TaskContext
+        import pyarrow as pa
 
-        out, path, n, now, file, found = None, "", 0, "", None, iter(())
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                if out is None:
-                    path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:8]}.warc.gz"
-                    out = open_output(path)
-                    text = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
-                    info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(path, 0, 'warcinfo', '')}\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(text)}\r\n\r\n"
-                    out.write(member(info.encode() + text + b"\r\n\r\n"))
-                if r.path != now:
-                    if file:
-                        file.close()
-                    now, file = r.path, open_input(r.path)
-                    found = arc_records(file)
-                record = next(x for x in found if x.offset == r.offset)  # rows come in the order of the file
-                refers = None if pd.isna(r.ref_path) else (record_id(r.ref_path, int(r.ref_offset), r.ref_url, r.ref_date), r.ref_page)
-                out.write(member(to_warc(record, r.path, refers)))
-                n += 1
-        if out:
+        def rows() -> Iterator[dict]:
+            for batch in batches:
+                yield from batch.to_pylist()
+
+        for path, own in itertools.groupby(rows(), key=lambda r: r["path"]):
+            name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
+            out, n = open_output(name), 0
+            text = b"software: tessera\r\nformat: WARC File Format 1.1\r\n"
+            info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(name, 0, 'warcinfo', '')}\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(text)}\r\n\r\n"
+            out.write(member(info.encode() + text + b"\r\n\r\n"))
+            ref = next(own)  # the file's own row comes first, without a place
+            ref = next(own, None)
+            with open_input(path) as file:
+                for record in arc_records(file):
+                    refers = None
+                    if ref is not None and ref["offset"] == record.offset:
+                        refers = (record_id(ref["ref_path"], ref["ref_offset"], ref["ref_url"], ref["ref_date"]), ref["ref_page"])
+                        ref = next(own, None)
+                    out.write(member(to_warc(record, path, refers)))
+                    n += 1
             out.close()
-            yield pd.DataFrame({"path": [path], "n_records": [n]})
+            if ref is not None:
+                raise ValueError(f"{path} holds no record at {ref['offset']}")
+            yield pa.RecordBatch.from_pydict({"path": [name], "n_records": pa.array([n], pa.int64())})
 
     ref = [F.coalesce(F.col("ref.page_id").cast("string"), F.lit("")).alias("ref_page"), *(F.col(f"ref.{c}").alias(f"ref_{c}") for c in ("path", "offset", "url", "date"))]
-    rows = records.select("path", "offset", *ref)
-    dealt = rows.repartitionByRange("path", "offset").sortWithinPartitions("path", "offset")
-    return written(dealt.mapInPandas(write, "path string, n_records long"), "warc-manifest")
+    revisits = records.filter("ref IS NOT NULL").select("path", "offset", *ref)
+    files = arcs.select("path", F.lit(-1).cast("long").alias("offset"), *[F.lit(None).cast(t).alias(c) for c, t in revisits.dtypes[2:]])
+    dealt = files.unionByName(revisits).repartition(max(1, arcs.count()), "path").sortWithinPartitions("path", "offset")
+    return written(dealt.mapInArrow(write, "path string, n_records long"), "warc-manifest")
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
@@ -293,24 +366,27 @@ def read_warc(manifest: DataFrame) -> DataFrame:
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
     def read(batches: Iterable) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
+
+        types = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+
+        def rows(path: str) -> Iterator[tuple]:
+            with open_input(path) as file:
+                for fields, block in warc_records(file):
+                    if (kind := fields["warc-type"]) == "warcinfo":
+                        continue
+                    head, payload = split_http(block)
+                    digest, size = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["x-payload-length"])
+                    if "sha256:" + hashlib.sha256(block).hexdigest() != fields["warc-block-digest"] or kind != "revisit" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+                        raise ValueError(f"{path}: {fields['warc-record-id']} does not match its digests")
+                    page, ref = head_value(head, b"X-Page-Id"), fields.get("x-refers-to-page", "")
+                    yield int(page) if page else None, size, digest, kind, int(ref) if ref else None
 
         for batch in batches:
-            for path in batch["path"]:
-                rows = []
-                with open_input(path) as file:
-                    for fields, block in warc_records(file):
-                        if (kind := fields["warc-type"]) == "warcinfo":
-                            continue
-                        head, payload = split_http(block)
-                        digest, size = fields["warc-payload-digest"].removeprefix("sha256:"), int(fields["x-payload-length"])
-                        if "sha256:" + hashlib.sha256(block).hexdigest() != fields["warc-block-digest"] or kind != "revisit" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                            raise ValueError(f"{path}: {fields['warc-record-id']} does not match its digests")
-                        page, ref = head_value(head, b"X-Page-Id"), fields.get("x-refers-to-page", "")
-                        rows.append((int(page) if page else None, size, digest, kind, int(ref) if ref else None))
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return _each_file(manifest).mapInPandas(read, schema)
+            for path in batch.column(0).to_pylist():
+                yield from _batches(rows(path), types)
+
+    return _each_file(manifest).mapInArrow(read, schema)
 
 
 def archive_digest(pages: DataFrame, least: int = LEAST) -> DataFrame:
@@ -319,8 +395,11 @@ def archive_digest(pages: DataFrame, least: int = LEAST) -> DataFrame:
     One row per row of ``pages``. Null html is an empty payload, a null url is
     about:blank. Of equal payloads the smallest page_id is the response; a null
     page_id only if no other id has the payload (its revisits refer to null),
-    and of repeated rows one is the response and the others revisit it. An empty
-    table gives no files and no rows; further columns are ignored.
+    and of repeated rows one is the response and the others revisit it. A page of any
+    length is one record, held in memory as a whole. An empty table gives no files and
+    no rows; further columns are ignored, whatever their names. A malformed archive
+    raises ValueError: no record of it is left out silently.
     """
-    records = written(read_arc(write_arc(pages)), "arc-records")
-    return read_warc(convert(first_of_equals(records, least)))
+    arcs = write_arc(pages)
+    records = written(read_arc(arcs), "arc-records")
+    return read_warc(convert(first_of_equals(records, least), arcs))

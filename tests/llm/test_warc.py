@@ -33,7 +33,40 @@ def test_arc_to_warc(version, packed):
     assert len({f["warc-record-id"] for f, _ in back}) == 3
 
 
-@pytest.mark.parametrize("data", [b"http://a 1 2 3 4\n", b"filedesc://x 0 1 t 9\n9 0 o\nURL\n", arc(1, [("http://a", "1999", b"abc")], False).getvalue()[:-3]])
+@pytest.mark.parametrize("piece", [1, 7, 64, 1 << 20])
+@pytest.mark.parametrize("version", [1, 2])
+def test_streams_of_any_piece(monkeypatch, version, piece):
+    """One member a record, one member for all, and no gzip give the same records, however few bytes are read at a time."""
+    monkeypatch.setattr(warc, "PIECE", piece)
+    plain = arc(version, RECORDS, False).getvalue()
+    for data in (arc(version, RECORDS, True).getvalue(), plain, gzip.compress(plain)):
+        got = list(warc.arc_records(io.BytesIO(data)))
+        assert [(r.fields["URL"], r.content) for r in got] == [(u, c) for u, _, c in RECORDS]
+        assert len({r.offset for r in got}) == 3 and [r.offset for r in got] == sorted(r.offset for r in got)
+    assert list(warc.arc_records(io.BytesIO(b""))) == []
+
+
+def test_a_large_plain_archive_is_streamed(monkeypatch):
+    """Of a file of many records little more than one record is held."""
+    data = arc(1, [(f"http://e/{k}", "1999", b"x" * 50_000) for k in range(200)], False)
+    held = []
+    monkeypatch.setattr(warc, "PIECE", 1 << 16)
+    fill = warc.Stream.fill
+    monkeypatch.setattr(warc.Stream, "fill", lambda self, n: (fill(self, n), held.append(len(self.held) + len(self.raw)))[0])
+    assert len(list(warc.arc_records(data))) == 200 and max(held) < 300_000
+
+
+def test_each_file_has_its_task(spark):
+    df = spark.createDataFrame([(k, f"http://e/{k}", "p" * 120 + str(k % 3)) for k in range(40)], "page_id long, url string, html string").repartition(6)
+    arcs = warc.write_arc(df)
+    records = warc.read_arc(arcs)
+    files = warc.convert(warc.first_of_equals(records), arcs)
+    assert arcs.count() == files.count() == 6 and files.agg({"n_records": "sum"}).first()[0] == 40
+    got = warc.read_warc(files).collect()
+    assert sorted(r.page_id for r in got) == list(range(40)) and {r.refers_to for r in got} == {None, 0, 1, 2}
+
+
+@pytest.mark.parametrize("data", [b"http://a 1 2 3 4\n", b"filedesc://x 0 1 t 9\n9 0 o\nURL\n", arc(1, [("http://a", "1999", b"abc")], False).getvalue()[:-3], arc(1, [("http://a", "1999", b"abc")], True).getvalue()[:-9], b"filedesc://x 0 1 t nine\n1 0 o\nURL\n", b"filedesc://f.arc"])
 def test_malformed(data):
     with pytest.raises(ValueError):
         list(warc.arc_records(io.BytesIO(data)))

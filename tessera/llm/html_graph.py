@@ -31,7 +31,7 @@ from tessera.llm.common import importable
 
 # Fixed values of HTML: elements without content, with raw text, within a line, and closed by the next of their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes noscript".split())
+RAW = frozenset("script style textarea title iframe noembed noframes".split())
 _MATH = "math semantics annotation mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle mpadded mfenced menclose msub msup msubsup munder mover munderover mtable mtr mtd"
 INLINE = frozenset(f"a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr {_MATH}".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -61,7 +61,7 @@ def parse(source: str) -> Page:
     """The block elements of a page and its text blocks. Any text is a page; what is open at its end is closed."""
     tags, attrs, parents, blocks = ["#page"], [""], [-1], []
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements; inline ones have their block's node
-    open_tags = {"#page": 1}
+    places: dict[str, list[int]] = {"#page": [0]}  # where the open elements of each name stand in the stack
     run: list[str] = []
     links = 0
     linked = False
@@ -80,17 +80,17 @@ def parse(source: str) -> Page:
         if any(t not in INLINE for t, _ in stack[at:]):
             end_block()
         for t, _ in stack[at:]:
-            open_tags[t] -= 1
+            places[t].pop()
         del stack[at:]
-        linked = open_tags.get("a", 0) > 0
+        linked = bool(places.get("a"))
+
+    def last(names) -> int:
+        return max([places[t][-1] for t in names if places.get(t)], default=0)
 
     def nearest(names, stops) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                return k
-            if stack[k][0] in stops:
-                return 0
-        return 0
+        """The innermost open element of these names, unless one of ``stops`` stands within it; 0 if none."""
+        at = last(names)
+        return at if at and at >= last(stops) else 0
 
     pos, size = 0, len(source)
     while pos < size:
@@ -112,7 +112,7 @@ def parse(source: str) -> Page:
             break  # a tag that the page's end cuts
         name = name.lower()
         if m[1]:
-            if open_tags.get(name):
+            if places.get(name):
                 at = nearest((name,), ()) if name not in INLINE else nearest((name,), CLOSES_P)
                 if at:
                     close(at)
@@ -120,12 +120,9 @@ def parse(source: str) -> Page:
                 end_block()
             continue
         if name in RAW:
-            if name not in ("noscript",) and not m[3].rstrip().endswith("/"):
+            if not m[3].rstrip().endswith("/"):
                 stop = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(source, pos)
                 pos = stop.end() if stop else size
-            elif name == "noscript":
-                stop = re.compile(r"</noscript\b[^>]*>", re.I).search(source, pos)
-                pos = stop.end() if stop else pos
             continue
         if name == "xmp":  # text as it stands, tags and all
             stop = re.compile(r"</xmp\b[^>]*(?:>|\Z)", re.I).search(source, pos)
@@ -140,11 +137,11 @@ def parse(source: str) -> Page:
             if name in ("br", "wbr"):
                 run.append(" " if name == "br" else "")
             elif name not in INLINE:
-                if name in CLOSES_P and open_tags.get("p"):
+                if name in CLOSES_P and places.get("p"):
                     close(at) if (at := nearest(("p",), ("td", "th", "button"))) else None
                 end_block()
             continue
-        if name in CLOSES_P and open_tags.get("p") and (at := nearest(("p",), ("td", "th", "caption", "button"))):
+        if name in CLOSES_P and places.get("p") and (at := nearest(("p",), ("td", "th", "caption", "button"))):
             close(at)
         if name in CLOSED_BY:
             names, stops = CLOSED_BY[name]
@@ -160,7 +157,7 @@ def parse(source: str) -> Page:
             attrs.append(m[3])
             parents.append(stack[-1][1])
             stack.append((name, len(tags) - 1))
-        open_tags[name] = open_tags.get(name, 0) + 1
+        places.setdefault(name, []).append(len(stack) - 1)
     end_block()
     return Page(tags, attrs, parents, blocks)
 
@@ -272,7 +269,7 @@ REGIONS = {
     "share": "share social sharing follow buttons meta byline toolbar print",
 }
 ARTICLE = "article content post entry story main body text articlebody maincontent postbody entrycontent page blog news detail prose"
-TAGS = {"menu": "nav div ul nav", "header": "header div header", "footer": "footer div footer", "sidebar": "aside div section aside", "notice": "div section div dialog", "advert": "div aside div ins section", "form": "form div form", "comments": "section div ol div", "share": "div ul p"}
+TAGS = {"menu": "nav div ul nav", "header": "header div header", "footer": "footer div footer", "sidebar": "aside div section aside", "notice": "div section div dialog noscript", "advert": "div aside div ins section", "form": "form div form", "comments": "section div ol div", "share": "div ul p"}
 
 
 class Grammar:
@@ -362,7 +359,7 @@ class Grammar:
     def region(self, kind: str) -> None:
         r = self.r
         name = r.choice(TAGS[kind].split())
-        named = name not in ("nav", "header", "footer", "aside", "form", "dialog", "ins") or r.random() < 0.4
+        named = name not in ("nav", "header", "footer", "aside", "form", "dialog", "ins", "noscript") or r.random() < 0.4
         opening = self.tag(name, False, REGIONS[kind] if named else "")
         if named and "=" not in opening:
             opening = f'<{name} class="{r.choice(REGIONS[kind].split())}">'
@@ -464,7 +461,9 @@ def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id
     """page_id, url, text and n_chars of every row.
 
     Null html is empty and gives an empty text, as does a page without content.
-    Null and repeated ids and urls are passed on; an empty table gives no rows.
+    Null and repeated ids and urls are passed on; repeated rows give a row each. A page of
+    any length is parsed as a whole, in time that grows with its length. An empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
     importable(pages.sparkSession)
     model = model or trained()

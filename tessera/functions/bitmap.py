@@ -89,6 +89,13 @@ def with_bit(bitmap: DataFrame, batch_id: int, pos: int, on: bool = True) -> Dat
     return cleared.filter("word <> 0")
 
 
+def has_bits(bitmap: DataFrame, bits: DataFrame) -> DataFrame:
+    """batch_id, pos and is_set of each asked bit (batch_id, pos)."""
+    asked = bits.select("batch_id", "pos", F.expr(f"pos div {WORD}").alias("word_id"))
+    word = F.coalesce("word", F.lit(0).cast("long"))
+    return asked.join(bitmap, KEYS, "left").select("batch_id", "pos", (F.getbit(word, (F.col("pos") % WORD).cast("int")) == 1).alias("is_set"))
+
+
 def has_bit(bitmap: DataFrame, batch_id: int, pos: int) -> bool:
     word = bitmap.filter((F.col("batch_id") == batch_id) & (F.col("word_id") == pos // WORD)).select("word").first()
     return word is not None and bool(word.word >> (pos % WORD) & 1)

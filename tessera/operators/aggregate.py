@@ -45,13 +45,13 @@ def merge_partials(*partials: DataFrame) -> DataFrame:
 
 
 def range_partitioned_sum(df: DataFrame, threshold: int | float, parts: int) -> DataFrame:
-    """Deal rows by sampled key ranges; the aggregate reuses that exchange and needs no merge."""
-    return grouped_sum(passing(df, threshold).repartitionByRange(parts, "key"))
+    """Sums dealt by sampled key ranges. Rows are summed by key before any exchange, so a hot key moves as one row a task."""
+    return threshold_sum(df, threshold).repartitionByRange(parts, "key")
 
 
 def adaptive_sum(df: DataFrame, threshold: int | float) -> DataFrame:
-    """Leave sizes to adaptive execution: pre-summed by key, then merged and split by what they hold."""
-    return grouped_sum(passing(df, threshold).hint("rebalance", "key"))
+    """Sums dealt by key, in partitions that adaptive execution merges and splits by what they hold; no raw row moves."""
+    return threshold_sum(df, threshold).hint("rebalance", "key")
 
 
 def first_groups(totals: DataFrame, n: int = 10) -> DataFrame:

@@ -1,15 +1,17 @@
-"""Membership: Bloom filters as tables, and IN with lists of any length."""
+"""Membership: Bloom filters that are probed where rows are read, and IN with lists of any length."""
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words (of 32 bits) of a filter that may be broadcast.
-BROADCAST_WORDS = 1_000_000
+#: Words (of 32 bits) of a filter that a plan may carry, of 8 bytes each: enough for some 400,000 keys at one false positive in a hundred.
+PLAN_WORDS = 125_000
 #: Literals in a predicate; longer lists become a table.
 LITERALS = 1000
 WORD = 32
@@ -28,25 +30,41 @@ class BloomShape:
         bits = -(-math.ceil(-keys * math.log(rate) / math.log(2) ** 2) // 64) * 64
         return cls(bits, max(1, round(bits / keys * math.log(2))))
 
-    def places(self, key: Column) -> Column:
+    def places(self, key: Column) -> list[Column]:
         """The bits of a key, by double hashing."""
-        one, two = F.xxhash64(key), F.xxhash64(key, F.lit(1))
-        return F.array(*[F.pmod(F.pmod(one, F.lit(self.bits)) + F.lit(i) * F.pmod(two, F.lit(self.bits)), F.lit(self.bits)) for i in range(self.hashes)])
+        one, two = F.xxhash64(key), F.xxhash64(F.lit(1), key)
+        return [F.pmod(F.pmod(one, F.lit(self.bits)) + F.lit(i) * F.pmod(two, F.lit(self.bits)), F.lit(self.bits)) for i in range(self.hashes)]
 
 
 def bloom_build(df: DataFrame, key: str, shape: BloomShape) -> DataFrame:
     """word_id, word: the filter's words that are not 0."""
-    bit = df.select(F.explode(shape.places(F.col(key))).alias("bit"))
+    bit = df.select(F.explode(F.array(*shape.places(F.col(key)))).alias("bit"))
     return bit.groupBy(F.expr(f"bit div {WORD}").alias("word_id")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(bit % {WORD} AS INT))")).alias("word"))
 
 
-def bloom_probe(df: DataFrame, key: str, words: DataFrame, shape: BloomShape) -> DataFrame:
-    """key, maybe of each distinct key: false means certainly absent."""
-    bits = df.select(F.col(key).alias("key")).distinct().select("key", F.explode(shape.places(F.col("key"))).alias("bit"))
-    side = F.broadcast(words) if shape.bits // WORD <= BROADCAST_WORDS else words
-    found = bits.withColumn("word_id", F.expr(f"bit div {WORD}")).join(side, "word_id", "left")
-    is_set = F.coalesce(F.expr(f"word & shiftleft(1L, CAST(bit % {WORD} AS INT)) <> 0"), F.lit(False))
-    return found.groupBy("key").agg(F.bool_and(is_set).alias("maybe"))
+def bloom_value(words: DataFrame, shape: BloomShape) -> Column | None:
+    """All words of a filter as one value that an expression may use; None if there are too many for a plan."""
+    n = -(-shape.bits // WORD)
+    if n > PLAN_WORDS:
+        return None
+    every = words.sparkSession.range(n).withColumnRenamed("id", "word_id").join(words, "word_id", "left")
+    rows = every.agg(F.sort_array(F.collect_list(F.struct("word_id", F.coalesce("word", F.lit(0).cast("long")).alias("word")))).alias("rows"))
+    return rows.select(F.transform("rows", lambda r: r["word"]).alias("words")).scalar()
+
+
+def maybe_in(key: Column, value: Column, shape: BloomShape) -> Column:
+    """Whether a filter may hold a key: false means certainly absent. NULL is absent."""
+    is_set = lambda p: F.getbit(F.get(value, F.call_function("div", p, F.lit(WORD)).cast("int")), (p % WORD).cast("int")) == 1
+    return functools.reduce(operator.and_, map(is_set, shape.places(key)), key.isNotNull())
+
+
+def bloom_semi_join(df: DataFrame, keys: DataFrame, key: str, rate: float = 0.01) -> DataFrame:
+    """Rows of ``df`` whose key is in ``keys``, exactly. A filter drops most others where they are read, before they
+    are shuffled; if it would be too large for a plan, the semi-join goes without."""
+    shape = BloomShape.of(keys.count(), rate)
+    value = bloom_value(bloom_build(keys, key, shape), shape) if -(-shape.bits // WORD) <= PLAN_WORDS else None
+    rows = df if value is None else df.filter(maybe_in(F.col(key), value, shape))
+    return rows.join(keys.select(key), key, "left_semi")
 
 
 def in_list(df: DataFrame, column: str, values: list[int]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions.numeric import adaptive_size
 
 RANGE_SCHEMA = "part int, lo long, hi long"
+#: A whole partition, in the unit of a bucket's share of one.
+SHARE = 1_000_000
 
 
 def key_span(df: DataFrame) -> tuple[int, int] | None:
@@ -19,7 +21,7 @@ def key_span(df: DataFrame) -> tuple[int, int] | None:
 def equi_width(key: Column, lo: int, hi: int, parts: int) -> Column:
     """The range of a key: all ranges are equally wide, and the last takes the remainder."""
     width = max(1, (hi - lo + 1) // parts)
-    return F.least(((key - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(parts - 1)).cast("int")
+    return F.least(F.call_function("div", key.cast("long") - F.lit(lo).cast("long"), F.lit(width).cast("long")), F.lit(parts - 1)).cast("int")
 
 
 def range_partitions(df: DataFrame, threads: int) -> DataFrame:
@@ -30,10 +32,10 @@ def range_partitions(df: DataFrame, threads: int) -> DataFrame:
     return df.groupBy(equi_width(F.col("key"), *span, parts).alias("part")).agg(F.count("*").alias("n"), F.sum("val").alias("total"))
 
 
-def density_histogram(df: DataFrame, threads: int) -> DataFrame:
-    """bucket, lo, hi (exclusive) and n of up to sixteen buckets a thread, empty ones too."""
+def density_histogram(df: DataFrame, threads: int, span: tuple[int, int] | None = None) -> DataFrame:
+    """bucket, lo, hi (exclusive) and n of up to sixteen buckets a thread, empty ones too; ``span`` if it is known."""
     spark = df.sparkSession
-    if (span := key_span(df)) is None:
+    if (span := span or key_span(df)) is None:
         return spark.createDataFrame([], "bucket int, lo long, hi long, n long")
     lo, hi = span
     buckets = max(1, min(16 * threads, hi - lo + 1))
@@ -44,30 +46,32 @@ def density_histogram(df: DataFrame, threads: int) -> DataFrame:
     return frame.join(counts, "bucket", "left").select("bucket", (F.lit(lo) + F.col("bucket") * F.lit(width)).cast("long").alias("lo"), top.cast("long").alias("hi"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def _size(smallest: int, largest: int) -> Column:
+    return adaptive_size(F.lit(largest), F.col("n"), F.col("hi") - F.col("lo"), smallest, largest)
+
+
 def adaptive_sizes(histogram: DataFrame, smallest: int, largest: int) -> DataFrame:
     """bucket, n, keys and size: the number of keys that a partition around the bucket should hold."""
-    keys = F.col("hi") - F.col("lo")
-    return histogram.select("bucket", "n", keys.alias("keys"), adaptive_size(F.lit(largest), F.col("n"), keys, smallest, largest).alias("size"))
+    return histogram.select("bucket", "n", (F.col("hi") - F.col("lo")).alias("keys"), _size(smallest, largest).alias("size"))
 
 
 def adaptive_ranges(df: DataFrame, threads: int) -> list[Row]:
-    """Key ranges (part, lo, hi exclusive): neighbouring buckets until they hold what their density asks for.
+    """Key ranges (part, lo, hi exclusive): buckets dealt out by the sum of the shares of a partition that each fills.
 
-    Works on at most sixteen buckets a thread, so the driver sees no rows.
+    One pass finds the span of keys and one the histogram; the driver sees a row a
+    bucket, at most sixteen a thread. Shares are whole millionths, so sums are exact.
     """
-    histogram = density_histogram(df, threads)
     if (span := key_span(df)) is None:
         return []
     n_keys = span[1] - span[0] + 1
-    smallest, largest = max(n_keys // (8 * threads), 1), max(n_keys // threads, 1)
-    sized = histogram.join(adaptive_sizes(histogram, smallest, largest).select("bucket", "size"), "bucket").orderBy("bucket").collect()
-    ranges, start = [], span[0]
-    for b in sized:
-        if b.hi - start >= b["size"] and b.lo > start:
-            ranges.append((start, b.lo))
-            start = b.lo
-    ranges.append((start, span[1] + 1))
-    return [Row(part=k, lo=a, hi=z) for k, (a, z) in enumerate(ranges)]
+    size = _size(max(n_keys // (8 * threads), 1), max(n_keys // threads, 1))
+    buckets = density_histogram(df, threads, span).withColumn("share", F.call_function("div", (F.col("hi") - F.col("lo")) * SHARE, size)).orderBy("bucket").collect()
+    spans: dict[int, list[int]] = {}
+    before = 0
+    for b in buckets:
+        spans.setdefault(before // SHARE, [b.lo, b.hi])[1] = b.hi
+        before += b.share
+    return [Row(part=k, lo=lo, hi=hi) for k, (lo, hi) in enumerate(spans.values())]
 
 
 def in_ranges(key: Column, ranges: list[Row]) -> Column:

@@ -8,16 +8,24 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 #: Reported percentiles.
 POINTS = {"p50": 0.5, "p99": 0.99, "p999": 0.999, "p9999": 0.9999}
 
 
-def latency_report(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """n, exact discrete percentiles and max of a column, for each group."""
-    points = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(name) for name, p in POINTS.items()]
+def latency_report(df: DataFrame, value: str, by: Sequence[str] = (), accuracy: int | None = None) -> DataFrame:
+    """n, discrete percentiles and max of a column, for each group.
+
+    Exact percentiles keep a count of each distinct value of a group in memory. With
+    ``accuracy`` a summary of bounded size takes their place, whose values are off by at most n /
+    ``accuracy`` ranks: for groups of many distinct values.
+    """
+    if accuracy:
+        points = [F.percentile_approx(value, p, accuracy).alias(name) for name, p in POINTS.items()]
+    else:
+        points = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(name) for name, p in POINTS.items()]
     return df.groupBy(*by).agg(F.count(value).alias("n"), *points, F.max(value).alias("max"))
 
 
@@ -80,6 +88,23 @@ def instrumented(plan: Callable[[], DataFrame], latencies: Latencies, repeats: i
     return rows
 
 
+def profiled(df: DataFrame, plan: Callable[[DataFrame], DataFrame], name: str, passes: Column) -> Row:
+    """Run a plan over ``df`` and report it: rows read and passed, groups, the sum of totals, and the time of each stage.
+
+    Counts are observed as the plan runs, so nothing is read twice.
+    """
+    latencies = Latencies()
+    rows, watch = observed(df, f"read by {name}", rows_read=F.count("*"), rows_passed=F.count_if(passes))
+    with latencies.measure("plan"):
+        out, result = observed(plan(rows), f"returned by {name}", groups=F.count("*"), total=F.sum("total"))
+        out._jdf.queryExecution().executedPlan()
+    with latencies.measure("execute"):
+        out.write.format("noop").mode("overwrite").save()
+    read, returned = watch.get, result.get
+    ns = {stage: latencies.samples[stage][0] for stage in ("plan", "execute")}
+    return Row(plan=name, rows_read=read["rows_read"], rows_passed=read["rows_passed"], groups=returned["groups"], total=returned["total"], plan_ns=ns["plan"], execute_ns=ns["execute"])
+
+
 @dataclass(frozen=True)
 class Environment:
     """Context switches of this process and interrupts of the machine so far."""

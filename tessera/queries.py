@@ -62,10 +62,9 @@ def _single_key(spark, d):
     return agg.threshold_sum(key_value(table(spark, d, "lineitem"), F.lit(7), "l_quantity"), 25)
 
 
-@register("threshold_sum_unaligned", _sum_sql("CAST(floor(o_totalprice) AS BIGINT) > 1000 AND o_orderkey < 12345", "o_custkey", "orders", "CAST(floor(o_totalprice) AS BIGINT)"))
+@register("threshold_sum_unaligned", _sum_sql("CAST(floor(o_totalprice) AS BIGINT) > 1000", "o_custkey", "orders", "CAST(floor(o_totalprice) AS BIGINT)"))
 def _unaligned(spark, d):
-    orders = table(spark, d, "orders").filter("o_orderkey < 12345")
-    return agg.threshold_sum(key_value(orders, "o_custkey", F.floor("o_totalprice")), 1000)
+    return agg.threshold_sum(key_value(table(spark, d, "orders"), "o_custkey", F.floor("o_totalprice")), 1000)
 
 
 @register("threshold_sum_negative", _sum_sql("CAST(l_quantity AS BIGINT) - 50 > -30", val="CAST(l_quantity AS BIGINT) - 50"))
@@ -73,9 +72,10 @@ def _negative(spark, d):
     return agg.threshold_sum(key_value(table(spark, d, "lineitem"), "l_suppkey", F.col("l_quantity").cast("long") - 50), -30)
 
 
-@register("threshold_sum_selected", _sum_sql("l_quantity > 25 AND l_suppkey % 3 = 0"))
+@register("threshold_sum_selected", _sum_sql("l_quantity > 25 AND l_returnflag <> 'R'"))
 def _selected(spark, d):
-    return agg.selected_sum(_items(spark, d), (F.col("val") > 25) & (F.col("key") % 3 == 0))
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("key"), F.col("l_quantity").cast("long").alias("val"), "l_returnflag")
+    return agg.selected_sum(lines, (F.col("val") > 25) & (F.col("l_returnflag") != "R"))
 
 
 @register("threshold_sum_two_phase", ORACLE_SQL["threshold_sum"])
@@ -128,7 +128,7 @@ def _generated(spark, d):
     )
 
 
-@register("generated_sum")
+@register("generated_sum", f"SELECT CAST(key AS BIGINT) AS key, CAST(sum(val) AS BIGINT) AS total FROM ({SyntheticTable(rows=1_000_000).sql()}) t WHERE val > 500 GROUP BY 1")
 def _generated_sum(spark, d):
     return agg.threshold_sum(SyntheticTable(rows=1_000_000).read(spark), 500)
 
@@ -138,10 +138,10 @@ _C0, _C1 = p.Col(0), p.Col(1)
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(F.col("user_id").alias("col0"), F.floor("value").alias("col1"), "event_id")
+    return table(spark, d, "events").select(F.col("user_id").alias("col0"), F.floor("value").alias("col1"), "event_id", "event_type")
 
 
-_EVENTS_SQL = "SELECT event_id FROM (SELECT user_id AS col0, CAST(floor(value) AS BIGINT) AS col1, event_id FROM events) t WHERE "
+_EVENTS_SQL = "SELECT event_id FROM (SELECT user_id AS col0, CAST(floor(value) AS BIGINT) AS col1, event_id, event_type FROM events) t WHERE "
 
 
 def _predicate(name: str, node: p.Node, sql: str, selection: str | None = None) -> None:
@@ -156,18 +156,18 @@ def _op(sign: str, a: p.Node | int, b: p.Node | int) -> p.Op:
 for _name, _sign in (("eq", "="), ("ne", "!="), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
     _predicate(f"pred_{_name}", _op(_sign, _C0, 70), f"col0 {_sign} 70")
 _LONG = tuple(range(0, 150, 13))
-_predicate("pred_literal_left", _op("<", 100, _C0), "100 < col0")
+_predicate("pred_literal_left", _op("<", 112, _C0), "112 < col0")
 _predicate("pred_column_truthy", _C0, "col0 <> 0")
 _predicate("pred_literal_truthy", p.And((p.Lit(5), p.Lit(True), _op("<", _C0, 9))), "col0 < 9")
 _predicate("pred_literal_null", p.Or((p.Lit(None), p.Lit(0.0), _op("<", _C0, 9))), "col0 < 9")
-_predicate("pred_not", p.Not(_op(">=", _C0, 100)), "NOT (col0 >= 100)")
-_predicate("pred_and", p.And((_op(">", _C0, 40), _op("<", _C1, 50))), "col0 > 40 AND col1 < 50")
+_predicate("pred_not", p.Not(_op(">=", _C0, 93)), "NOT (col0 >= 93)")
+_predicate("pred_and", p.And((_op(">", _C0, 37), _op("<", _C1, 44))), "col0 > 37 AND col1 < 44")
 _predicate("pred_or", p.Or((_op("<", _C0, 20), _op(">", _C0, 130))), "col0 < 20 OR col0 > 130")
 _predicate("pred_empty_and", p.And(()), "TRUE")
 _predicate("pred_empty_or", p.Or(()), "FALSE")
-_predicate("pred_nested", p.Or((p.And((_op(">", _C0, 100), _op("<", _C1, 50))), _op("=", _C0, 0))), "(col0 > 100 AND col1 < 50) OR col0 = 0")
-_predicate("pred_selection_mask", _op(">", _C0, 100), "event_id % 3 = 1 AND col0 > 100", "event_id % 3 = 1")
-_predicate("pred_in_small", p.In(0, (50, 150, 3, 50)), "col0 IN (3, 50, 150)")
+_predicate("pred_nested", p.Or((p.And((_op(">", _C0, 118), _op("<", _C1, 36))), _op("=", _C0, 7))), "(col0 > 118 AND col1 < 36) OR col0 = 7")
+_predicate("pred_selection_mask", _op(">", _C0, 64), "event_type = 'click' AND col0 > 64", "event_type = 'click'")
+_predicate("pred_in_small", p.In(0, (88, 12, 5, 88)), "col0 IN (5, 12, 88)")
 _predicate("pred_in_one", p.In(0, (7, 7)), "col0 = 7")
 _predicate("pred_in_large", p.In(0, _LONG), f"col0 IN {_LONG}")
 _predicate("pred_in_empty", p.In(0, ()), "FALSE")
@@ -175,6 +175,15 @@ _predicate("pred_not_in", p.Not(p.In(0, _LONG)), f"col0 NOT IN {_LONG}")
 _predicate("pred_col_col", _op(">", _C0, _C1), "col0 > col1")
 _predicate("pred_arith_compare", _op(">", _op("+", _C0, 5), _op("*", _C1, 2)), "col0 + 5 > col1 * 2")
 _predicate("pred_f64_literal", _op(">", _C0, 99.5), "col0 > 99.5")
+_predicate("arith_columns_add", _op(">", _op("+", _C0, _C1), 90), "col0 + col1 > 90")
+_predicate("arith_columns_sub", _op("-", _C0, _C1), "col0 - col1 <> 0")
+_predicate("arith_columns_mul", _op("<", _op("*", _C0, _C1), 700), "col0 * col1 < 700")
+_predicate("arith_columns_div", _op("=", _op("/", _C0, _C1), 2), "col1 <> 0 AND col0 // (CASE WHEN col1 = 0 THEN 1 ELSE col1 END) = 2")
+_predicate("fold_f64", _op(">", _C0, _op("+", 49.25, 50.5)), "col0 > 49.25 + 50.5")
+_predicate("fold_f64_chain", _op(">", _C0, _op("/", _op("*", _op("-", 30.5, 0.5), 9.0), 4.0)), "col0 > (30.5 - 0.5) * 9.0 / 4.0")
+_predicate("fold_f64_compare", p.And((_op("<", 2.25, 3.5), _op("<", _C0, 21))), "2.25 < 3.5 AND col0 < 21")
+_predicate("fold_bool_eq", p.And((_op("=", True, True), _op("<", _C0, 33))), "(TRUE = TRUE) AND col0 < 33")
+_predicate("fold_bool_ne", p.Or((_op("!=", False, False), _op("<", _C0, 33))), "(FALSE <> FALSE) OR col0 < 33")
 _predicate("pred_null_literal", p.Not(_op("=", _C0, p.Lit(None))), "TRUE")
 _predicate("arith_add", _op("+", _C0, -30), "col0 + -30 <> 0")
 _predicate("arith_sub", _op("-", _C0, 30), "col0 - 30 <> 0")
@@ -185,8 +194,31 @@ _predicate("arith_div", _op("/", _C0, -40), "col0 // 40 <> 0")
 _predicate("arith_div_zero", _op("/", _C0, 0), "FALSE")
 _predicate("arith_div_literal_left", _op("/", 40, _C0), "col0 <> 0 AND 40 // (CASE WHEN col0 = 0 THEN 1 ELSE col0 END) <> 0")
 _predicate("arith_div_compare", _op("=", _op("/", _C0, 7), 3), "col0 // 7 = 3")
-_NESTED = p.Not(p.Or((p.Not(p.And((_op(">", _C0, 40), p.Lit(True), p.And((_op("<", _C1, 50),))))), p.In(0, (60,)), _op(">", 3, 5))))
-_predicate("simplify_equivalence", _NESTED, "col0 > 40 AND col1 < 50 AND col0 <> 60")
+_NESTED = p.Not(p.Or((p.Not(p.And((_op(">", _C0, 37), p.Lit(True), p.And((_op("<", _C1, 44),))))), p.In(0, (61,)), _op(">", 3, 5))))
+_predicate("simplify_equivalence", _NESTED, "col0 > 37 AND col1 < 44 AND col0 <> 61")
+_EDGES = (2**63 - 1, -(2**63), 3037000500, -1, 0, 7)
+
+
+def _wrapped(sign: str) -> str:
+    """DuckDB SQL of a + b, a - b or a * b in 64 bits, by way of 128."""
+    exact = f"CAST(a AS HUGEINT) {sign} b"
+    rest = f"((({exact}) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616)"
+    return f"CAST(CASE WHEN {rest} >= 9223372036854775808 THEN {rest} - 18446744073709551616 ELSE {rest} END AS BIGINT)"
+
+
+_EDGE_ROWS = ", ".join(f"(CAST('{a}' AS BIGINT), CAST('{b}' AS BIGINT))" for a in _EDGES for b in _EDGES)
+
+
+@register("arith_wraps", f"SELECT a, b, {_wrapped('+')} AS plus, {_wrapped('-')} AS minus, {_wrapped('*').replace('CAST(a AS HUGEINT) * b', '(CAST(a AS HUGEINT) * b)')} AS times FROM (VALUES {_EDGE_ROWS}) t(a, b)")
+def _wraps(spark, d):
+    df = spark.createDataFrame([(a, b) for a in _EDGES for b in _EDGES], "a long, b long")
+    return df.select("a", "b", *[p.value(_op(sign, _C0, _C1), df).alias(name) for sign, name in (("+", "plus"), ("-", "minus"), ("*", "times"))])
+
+
+@register("fold_text", "SELECT '6.000000' AS product, '-3' AS quotient, 'inf' AS over_zero, 'false' AS unequal, '(1 < 2.000000)' AS mixed, '(7 / 0)' AS waits, '-9223372036854775808' AS wrapped")
+def _fold_text(spark, d):
+    cases = {"product": _op("*", 2.5, 2.4), "quotient": _op("/", -7, 2), "over_zero": _op("/", 1.0, 0.0), "unequal": _op("!=", True, True), "mixed": _op("<", 1, 2.0), "waits": _op("/", 7, 0), "wrapped": _op("/", -(2**63), -1)}
+    return spark.createDataFrame([tuple(p.text(p.simplify(n)) for n in cases.values())], ", ".join(f"{k} string" for k in cases))
 
 _NULLS = "(VALUES (1, 5), (2, NULL), (3, 0), (4, -7))"
 
@@ -202,26 +234,26 @@ def _null_truthy(spark, d):
     return p.select(spark.createDataFrame([(5, 1), (None, 2), (0, 3), (-7, 4)], "v long, id int"), _C0).select("id")
 
 
-@register("pred_text", "SELECT '(((col0 > 100) AND (col1 < 50)) OR (col0 = 0))' AS nested, 'NOT (col0 IN (1, 2))' AS negated, '(col0 * 2.500000)' AS product, 'true' AS nothing")
+@register("pred_text", "SELECT '(((col0 > 118) AND (col1 < 36)) OR (col0 = 7))' AS nested, 'NOT (col0 IN (4, 9))' AS negated, '(col0 * 2.500000)' AS product, 'true' AS nothing")
 def _text(spark, d):
-    nested = p.Or((p.And((_op(">", _C0, 100), _op("<", _C1, 50))), _op("=", _C0, 0)))
-    row = (p.text(nested), p.text(p.Not(p.In(0, (1, 2)))), p.text(_op("*", _C0, 2.5)), p.text(p.And(())))
+    nested = p.Or((p.And((_op(">", _C0, 118), _op("<", _C1, 36))), _op("=", _C0, 7)))
+    row = (p.text(nested), p.text(p.Not(p.In(0, (4, 9)))), p.text(_op("*", _C0, 2.5)), p.text(p.And(())))
     return spark.createDataFrame([row], "nested string, negated string, product string, nothing string")
 
 
 # --- joins -----------------------------------------------------------------------------------
 def _orders_lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, d, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("payload"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("payload"))
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("payload"))
     return orders, lines
 
 
-@register("join_inner", "SELECT o_orderkey AS key, o_custkey AS lp, l_partkey AS rp FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 2000")
+@register("join_inner", "SELECT o_orderkey AS key, o_custkey AS lp, l_partkey AS rp FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def _inner(spark, d):
     return joins.inner_join(*_orders_lines(spark, d))
 
 
-@register("join_left_outer", "SELECT o_orderkey AS key, o_custkey AS lp, l_partkey AS rp FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey < 2000")
+@register("join_left_outer", "SELECT o_orderkey AS key, o_custkey AS lp, l_partkey AS rp FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
 def _left_outer(spark, d):
     return joins.left_outer_join(*_orders_lines(spark, d))
 
@@ -282,7 +314,7 @@ def _prune_never(spark, d):
 
 
 # --- key ranges ------------------------------------------------------------------------------
-_PASSING = "(SELECT CAST(l_partkey AS BIGINT) AS key, CAST(l_quantity AS BIGINT) AS val FROM lineitem WHERE l_quantity > 45 AND (l_partkey < 150 OR l_quantity > 49 AND l_partkey % 5 = 0))"
+_PASSING = "(SELECT CAST(l_partkey AS BIGINT) AS key, CAST(l_quantity AS BIGINT) AS val FROM lineitem)"
 _SPAN = f"t AS (SELECT * FROM {_PASSING} s), s AS (SELECT min(key) AS lo, max(key) AS hi FROM t)"
 _BUCKETS = f"""
     {_SPAN}, w AS (SELECT lo, hi, greatest(1, least({16 * THREADS}, hi - lo + 1)) AS nb FROM s), v AS (SELECT *, greatest(1, (hi - lo + 1) // nb) AS width FROM w),
@@ -291,18 +323,18 @@ _BUCKETS = f"""
           FROM v, (SELECT unnest(range({16 * THREADS})) AS i) r LEFT JOIN c ON c.bucket = i WHERE i < nb)"""
 
 
-def _skewed(spark: SparkSession, d: str) -> DataFrame:
-    return _items(spark, d, "l_partkey").filter("val > 45 AND (key < 150 OR val > 49 AND key % 5 = 0)")
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d, "l_partkey")
 
 
 @register("range_partitions", f"WITH {_SPAN}, w AS (SELECT lo, hi, least({4 * THREADS}, hi - lo + 1) AS np FROM s), v AS (SELECT lo, np, greatest(1, (hi - lo + 1) // np) AS width FROM w) SELECT CAST(least((key - lo) // width, np - 1) AS INT) AS part, count(*) AS n, CAST(sum(val) AS BIGINT) AS total FROM t, v GROUP BY 1")
 def _ranges(spark, d):
-    return partitioning.range_partitions(_skewed(spark, d), THREADS)
+    return partitioning.range_partitions(_parts(spark, d), THREADS)
 
 
 @register("density_histogram", f"WITH {_BUCKETS} SELECT bucket, lo, hi, n FROM h")
 def _histogram(spark, d):
-    return partitioning.density_histogram(_skewed(spark, d), THREADS)
+    return partitioning.density_histogram(_parts(spark, d), THREADS)
 
 
 def _size_sql(small: str, large: str) -> str:
@@ -311,22 +343,20 @@ def _size_sql(small: str, large: str) -> str:
 
 @register("adaptive_sizes", f"WITH {_BUCKETS} SELECT bucket, n, hi - lo AS keys, CAST({_size_sql('2', '12')} AS BIGINT) AS size FROM h")
 def _sizes(spark, d):
-    return partitioning.adaptive_sizes(partitioning.density_histogram(_skewed(spark, d), THREADS), 2, 12)
+    return partitioning.adaptive_sizes(partitioning.density_histogram(_parts(spark, d), THREADS), 2, 12)
 
 
 _ADAPTIVE_SQL = f"""
-    WITH RECURSIVE {_BUCKETS}, z AS (SELECT lo AS klo, hi AS khi, greatest((hi - lo + 1) // {8 * THREADS}, 1) AS small, greatest((hi - lo + 1) // {THREADS}, 1) AS large FROM s),
-    b AS (SELECT bucket, lo, hi, {_size_sql('small', 'large')} AS size FROM h, z),
-    f AS (SELECT -1 AS bucket, klo AS start, CAST(NULL AS BIGINT) AS cut FROM z
-          UNION ALL SELECT b.bucket, CASE WHEN b.hi - f.start >= b.size THEN b.lo ELSE f.start END, CASE WHEN b.hi - f.start >= b.size AND b.lo > f.start THEN b.lo END FROM f JOIN b ON b.bucket = f.bucket + 1),
-    e AS (SELECT klo AS lo FROM z UNION SELECT cut FROM f WHERE cut IS NOT NULL),
-    q AS (SELECT CAST(row_number() OVER (ORDER BY e.lo) - 1 AS INT) AS part, e.lo, coalesce(lead(e.lo) OVER (ORDER BY e.lo), khi + 1) AS hi FROM e, z)
+    WITH {_BUCKETS}, z AS (SELECT greatest((hi - lo + 1) // {8 * THREADS}, 1) AS small, greatest((hi - lo + 1) // {THREADS}, 1) AS large FROM s),
+    b AS (SELECT bucket, lo, hi, (hi - lo) * {partitioning.SHARE} // CAST({_size_sql('small', 'large')} AS BIGINT) AS share FROM h, z),
+    f AS (SELECT lo, hi, coalesce(sum(share) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {partitioning.SHARE} AS place FROM b),
+    q AS (SELECT CAST(row_number() OVER (ORDER BY place) - 1 AS INT) AS part, min(lo) AS lo, max(hi) AS hi FROM f GROUP BY place)
     SELECT part, q.lo, q.hi, count(key) AS n, CAST(sum(val) AS BIGINT) AS total FROM q LEFT JOIN t ON key >= q.lo AND key < q.hi GROUP BY 1, 2, 3"""
 
 
 @register("adaptive_partitions", _ADAPTIVE_SQL)
 def _adaptive_partitions(spark, d):
-    return partitioning.adaptive_partitions(_skewed(spark, d), THREADS)
+    return partitioning.adaptive_partitions(_parts(spark, d), THREADS)
 
 
 # --- selection bitmaps -----------------------------------------------------------------------
@@ -368,19 +398,21 @@ def _or(spark, d):
     return bitmap.either(_bits(spark, d, _A), _bits(spark, d, _B))
 
 
-def _batches(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").filter(f"event_id < {BATCH_ROWS}").select(batch_of("event_id").alias("batch_id"))
+def _frame(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every batch, and the bits that a row of it stands for: the last batch is short."""
+    return table(spark, d, "events").select(batch_of("event_id").alias("batch_id")), _bits(spark, d, "TRUE")
 
 
-@register("bitmap_not", f"SELECT CAST(0 AS BIGINT) AS batch_id, p // 32 AS word_id, bit_or(CAST(1 AS BIGINT) << CAST(p % 32 AS BIGINT)) AS word FROM (SELECT unnest(range({BATCH_ROWS})) AS p) r WHERE p NOT IN (SELECT event_id FROM events WHERE {_A}) GROUP BY 2")
+@register("bitmap_not", _words_sql(f"NOT coalesce({_A}, FALSE)"))
 def _not(spark, d):
-    first = _bits(spark, d, f"event_id < {BATCH_ROWS} AND ({_A})")
-    return bitmap.complement(first, _batches(spark, d), BATCH_ROWS)
+    batches, rows = _frame(spark, d)
+    return bitmap.both(bitmap.complement(_bits(spark, d, _A), batches, BATCH_ROWS), rows)
 
 
-@register("bitmap_all", f"SELECT CAST(0 AS BIGINT) AS batch_id, CAST({BATCH_ROWS} AS BIGINT) AS n")
+@register("bitmap_all", f"SELECT event_id // {BATCH_ROWS} AS batch_id, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def _all(spark, d):
-    return bitmap.popcount(bitmap.all_set(_batches(spark, d), BATCH_ROWS))
+    batches, rows = _frame(spark, d)
+    return bitmap.popcount(bitmap.both(bitmap.all_set(batches, BATCH_ROWS), rows))
 
 
 @register("bitmap_shl", _words_sql(f"({_A}) AND pos + 37 < {BATCH_ROWS}", "(pos + 37)"))
@@ -398,132 +430,55 @@ def _shift_out(spark, d):
     return bitmap.shifted(_bits(spark, d, _A), BATCH_ROWS, BATCH_ROWS).agg(F.count("*").alias("n"))
 
 
-@register("bitmap_set_clear", _words_sql(f"event_id < {BATCH_ROWS} AND (({_A}) AND event_id <> 64 OR event_id = 63)"))
+@register("bitmap_set_clear", _words_sql(f"({_A}) AND event_id <> 64 OR event_id = 63"))
 def _set_clear(spark, d):
-    first = _bits(spark, d, f"event_id < {BATCH_ROWS} AND ({_A})")
-    return bitmap.with_bit(bitmap.with_bit(first, 0, 63), 0, 64, on=False)
-
-
-# --- membership ------------------------------------------------------------------------------
-_SHAPE_RATE = 0.01
-
-
-def _bloom(spark: SparkSession, d: str) -> tuple[DataFrame, membership.BloomShape]:
-    keys = table(spark, d, "orders").filter("o_orderkey % 10 = 0")
-    shape = membership.BloomShape.of(keys.count(), _SHAPE_RATE)
-    return membership.bloom_build(keys, "o_orderkey", shape), shape
-
-
-@register("bloom_no_false_negatives", "SELECT count(*) AS probes, CAST(0 AS BIGINT) AS misses FROM orders WHERE o_orderkey % 10 = 0")
-def _no_misses(spark, d):
-    words, shape = _bloom(spark, d)
-    probe = membership.bloom_probe(table(spark, d, "orders").filter("o_orderkey % 10 = 0"), "o_orderkey", words, shape)
-    return probe.agg(F.count("*").alias("probes"), F.count_if(~F.col("maybe")).alias("misses"))
+    return bitmap.with_bit(bitmap.with_bit(_bits(spark, d, _A), 0, 63), 0, 64, on=False)
 
 
-@register("bloom_false_positive_rate", "SELECT TRUE AS under_five_percent")
-def _false_positives(spark, d):
-    words, shape = _bloom(spark, d)
-    probe = membership.bloom_probe(table(spark, d, "orders").filter("o_orderkey % 10 <> 0"), "o_orderkey", words, shape)
-    return probe.agg((F.count_if("maybe") < 0.05 * F.count("*")).alias("under_five_percent"))
+_ASKED = [(0, 63), (0, 64), (0, 31), (0, 32), (1, 0), (1, 2047), (10**6, 5)]
 
 
-@register("bloom_semi_filter", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0)")
-def _bloom_semi(spark, d):
-    words, shape = _bloom(spark, d)
-    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    maybe = membership.bloom_probe(lines, "l_orderkey", words, shape).filter("maybe").select(F.col("key").alias("l_orderkey"))
-    exact = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
-    return lines.join(maybe, "l_orderkey", "left_semi").join(exact, "l_orderkey", "left_semi")
+@register("bitmap_has_bit", f"SELECT batch_id, pos, EXISTS (SELECT 1 FROM events WHERE event_id = batch_id * {BATCH_ROWS} + pos AND {_A}) AS is_set FROM (VALUES {', '.join(f'(CAST({b} AS BIGINT), CAST({k} AS BIGINT))' for b, k in _ASKED)}) t(batch_id, pos)")
+def _has_bit(spark, d):
+    return bitmap.has_bits(_bits(spark, d, _A), spark.createDataFrame(_ASKED, "batch_id long, pos long"))
 
 
-@register("in_list_long", "SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey < 14000")
-def _in_long(spark, d):
-    return membership.in_list(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", list(range(0, 14000, 7)))
-
-
-# --- whole tables: the queries above that see fixed ids, without that limit -------------------
+# --- membership ------------------------------------------------------------------------------
+_RATE = 0.01
 _NATURAL = "o_orderstatus = 'F'"
-_EVERY = "(SELECT CAST(l_partkey AS BIGINT) AS key, CAST(l_quantity AS BIGINT) AS val FROM lineitem)"
-
-
-def _all_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("payload"))
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("payload"))
-    return orders, lines
 
 
-def _frame(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every batch, and the bits that a row of it stands for: the last batch is short."""
-    return table(spark, d, "events").select(batch_of("event_id").alias("batch_id")), _bits(spark, d, "TRUE")
-
-
-def _natural_bloom(spark: SparkSession, d: str, where: str) -> tuple[DataFrame, membership.BloomShape]:
-    keys = table(spark, d, "orders").filter(where)
-    shape = membership.BloomShape.of(keys.count(), _SHAPE_RATE)
-    return membership.bloom_build(keys, "o_orderkey", shape), shape
-
-
-@register("join_inner_whole", "SELECT o_orderkey AS key, o_custkey AS lp, l_partkey AS rp FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
-def _inner_whole(spark, d):
-    return joins.inner_join(*_all_sides(spark, d))
-
-
-@register("join_left_outer_whole", "SELECT o_orderkey AS key, o_custkey AS lp, l_partkey AS rp FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey")
-def _left_outer_whole(spark, d):
-    return joins.left_outer_join(*_all_sides(spark, d))
-
-
-@register("threshold_sum_unaligned_whole", _sum_sql("CAST(floor(o_totalprice) AS BIGINT) > 1000", "o_custkey", "orders", "CAST(floor(o_totalprice) AS BIGINT)"))
-def _unaligned_whole(spark, d):
-    return agg.threshold_sum(key_value(table(spark, d, "orders"), "o_custkey", F.floor("o_totalprice")), 1000)
-
-
-@register("bitmap_not_whole", _words_sql(f"NOT coalesce({_A}, FALSE)"))
-def _not_whole(spark, d):
-    batches, rows = _frame(spark, d)
-    return bitmap.both(bitmap.complement(_bits(spark, d, _A), batches, BATCH_ROWS), rows)
-
-
-@register("bitmap_all_whole", f"SELECT event_id // {BATCH_ROWS} AS batch_id, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
-def _all_whole(spark, d):
-    batches, rows = _frame(spark, d)
-    return bitmap.popcount(bitmap.both(bitmap.all_set(batches, BATCH_ROWS), rows))
+def _probed(spark: SparkSession, d: str, built: str, probed: str) -> DataFrame:
+    """maybe of the orders ``probed``, by a filter of the keys of the orders ``built``."""
+    keys = table(spark, d, "orders").filter(built)
+    shape = membership.BloomShape.of(keys.count(), _RATE)
+    value = membership.bloom_value(membership.bloom_build(keys, "o_orderkey", shape), shape)
+    return table(spark, d, "orders").filter(probed).select(membership.maybe_in(F.col("o_orderkey"), value, shape).alias("maybe"))
 
 
-@register("bitmap_set_clear_whole", _words_sql(f"({_A}) AND event_id <> 64 OR event_id = 63"))
-def _set_clear_whole(spark, d):
-    return bitmap.with_bit(bitmap.with_bit(_bits(spark, d, _A), 0, 63), 0, 64, on=False)
-
-
-@register("bloom_no_false_negatives_whole", "SELECT count(DISTINCT o_orderkey) AS probes, CAST(0 AS BIGINT) AS misses FROM orders")
-def _no_misses_whole(spark, d):
-    probe = membership.bloom_probe(table(spark, d, "orders"), "o_orderkey", *_natural_bloom(spark, d, "TRUE"))
-    return probe.agg(F.count("*").alias("probes"), F.count_if(~F.col("maybe")).alias("misses"))
+@register("bloom_no_false_negatives", "SELECT count(*) AS probes, CAST(0 AS BIGINT) AS misses FROM orders")
+def _no_misses(spark, d):
+    return _probed(spark, d, "TRUE", "TRUE").agg(F.count("*").alias("probes"), F.count_if(~F.col("maybe")).alias("misses"))
 
 
-@register("bloom_false_positive_rate_whole", "SELECT TRUE AS under_five_percent")
-def _false_positives_whole(spark, d):
-    probe = membership.bloom_probe(table(spark, d, "orders").filter(f"NOT ({_NATURAL})"), "o_orderkey", *_natural_bloom(spark, d, _NATURAL))
-    return probe.agg((F.count_if("maybe") < 0.05 * F.count("*")).alias("under_five_percent"))
+@register("bloom_false_positive_rate", "SELECT TRUE AS under_five_percent")
+def _false_positives(spark, d):
+    return _probed(spark, d, _NATURAL, f"NOT ({_NATURAL})").agg((F.count_if("maybe") < 0.05 * F.count("*")).alias("under_five_percent"))
 
 
-@register("bloom_semi_filter_whole", f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_NATURAL})")
-def _bloom_semi_whole(spark, d):
+@register("bloom_semi_filter", f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_NATURAL})")
+def _bloom_semi(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    maybe = membership.bloom_probe(lines, "l_orderkey", *_natural_bloom(spark, d, _NATURAL)).filter("maybe").select(F.col("key").alias("l_orderkey"))
-    exact = table(spark, d, "orders").filter(_NATURAL).select(F.col("o_orderkey").alias("l_orderkey"))
-    return lines.join(maybe, "l_orderkey", "left_semi").join(exact, "l_orderkey", "left_semi")
+    return membership.bloom_semi_join(lines, table(spark, d, "orders").filter(_NATURAL).select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", _RATE)
 
 
-def _over_all(name: str, plan: Callable[[DataFrame], DataFrame]) -> None:
-    register(f"{name}_whole", ORACLE_SQL[name].replace(_PASSING, _EVERY))(lambda spark, d: plan(_items(spark, d, "l_partkey")))
+_PRICES = range(1000, 90_000, 23)
 
 
-_over_all("range_partitions", lambda rows: partitioning.range_partitions(rows, THREADS))
-_over_all("density_histogram", lambda rows: partitioning.density_histogram(rows, THREADS))
-_over_all("adaptive_sizes", lambda rows: partitioning.adaptive_sizes(partitioning.density_histogram(rows, THREADS), 2, 12))
-_over_all("adaptive_partitions", lambda rows: partitioning.adaptive_partitions(rows, THREADS))
+@register("in_list_long", f"SELECT o_orderkey FROM orders WHERE CAST(floor(o_totalprice) AS BIGINT) IN ({', '.join(map(str, _PRICES))})")
+def _in_long(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").alias("price"))
+    return membership.in_list(orders, "price", list(_PRICES)).select("o_orderkey")
 
 
 # --- measurement -----------------------------------------------------------------------------
@@ -541,3 +496,48 @@ def _observed(spark, d):
     agg.threshold_sum(rows, 25).write.format("noop").mode("overwrite").save()
     got = watch.get
     return spark.createDataFrame([(got["rows_read"], got["rows_passed"])], "rows_read long, rows_passed long")
+
+
+@register("latency_quantiles_approx", "SELECT event_type, count(value) AS n, max(value) AS max, TRUE AS p50_close, TRUE AS p99_close FROM events GROUP BY 1")
+def _latency_approx(spark, d):
+    """The summaries of bounded size, beside the exact values a hundredth of the ranks below and above."""
+    near = {name: [f"percentile_disc({max(0.0, q - 0.01)}) WITHIN GROUP (ORDER BY value)", f"percentile_disc({min(1.0, q + 0.01)}) WITHIN GROUP (ORDER BY value)"] for name, q in (("p50", 0.5), ("p99", 0.99))}
+    events = table(spark, d, "events")
+    exact = events.groupBy("event_type").agg(*[F.expr(sql).alias(f"{name}_{k}") for name, pair in near.items() for k, sql in enumerate(pair)])
+    found = profile.latency_report(events, "value", ["event_type"], accuracy=10_000).join(exact, "event_type")
+    return found.select("event_type", "n", "max", *[F.col(name).between(F.col(f"{name}_0"), F.col(f"{name}_1")).alias(f"{name}_close") for name in near])
+
+
+@register("profiled_sums", f"SELECT plan, (SELECT count(*) FROM lineitem) AS rows_read, (SELECT count(*) FROM lineitem WHERE l_quantity > 25) AS rows_passed, count(*) AS groups, CAST(sum(total) AS BIGINT) AS total, TRUE AS timed FROM ({ORACLE_SQL['threshold_sum']}) t, (VALUES ('two-phase'), ('key ranges'), ('rebalanced')) p(plan) GROUP BY plan")
+def _profiled(spark, d):
+    plans = {"two-phase": lambda df: agg.threshold_sum(df, 25), "key ranges": lambda df: agg.range_partitioned_sum(df, 25, 8), "rebalanced": lambda df: agg.adaptive_sum(df, 25)}
+    rows = [profile.profiled(_items(spark, d), plan, name, F.col("val") > 25) for name, plan in plans.items()]
+    out = [(r.plan, r.rows_read, r.rows_passed, r.groups, r.total, r.plan_ns >= 0 and r.execute_ns > 0) for r in rows]
+    return spark.createDataFrame(out, "plan string, rows_read long, rows_passed long, groups long, total long, timed boolean")
+
+
+@register("stage_report", "SELECT stage, CAST(n AS BIGINT) AS n, TRUE AS ordered FROM (VALUES ('plan', 3), ('execute', 3)) t(stage, n)")
+def _stages(spark, d):
+    """Timers around planning and execution of a plan run three times: samples of each stage, percentiles in order."""
+    latencies = profile.Latencies()
+    profile.instrumented(lambda: agg.threshold_sum(_items(spark, d), 25), latencies, repeats=3)
+    points = {stage: [latencies.percentile(stage, q) for q in profile.POINTS.values()] for stage in latencies.samples}
+    return spark.createDataFrame([(stage, len(ns), points[stage] == sorted(points[stage]) and points[stage][-1] <= max(ns)) for stage, ns in latencies.samples.items()], "stage string, n long, ordered boolean")
+
+
+@register("environment", "SELECT TRUE AS counts_grow, TRUE AS decided")
+def _environment(spark, d):
+    before = profile.Environment.now()
+    agg.threshold_sum(_items(spark, d), 25).write.format("noop").mode("overwrite").save()
+    after = profile.Environment.now()
+    grow = after.voluntary >= before.voluntary and after.involuntary >= before.involuntary and after.interrupts >= before.interrupts
+    return spark.createDataFrame([(grow, all(isinstance(x, bool) for x in before.clean_until(after)))], "counts_grow boolean, decided boolean")
+
+
+@register("plan_report", "SELECT line, TRUE AS present FROM (VALUES ('two-phase'), ('key ranges'), ('rebalanced'), ('largest sums')) t(line)")
+def _report(spark, d):
+    from tessera.report import run
+
+    lines = run(spark, rows=50_000, keys=20, threshold=500, repeats=1)
+    names = ("two-phase", "key ranges", "rebalanced", "largest sums")
+    return spark.createDataFrame([(n, any(x.startswith(f"{n}: ") for x in lines)) for n in names], "line string, present boolean")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares; on one machine a temporary one if none is set."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
+        root = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def key_value(df: DataFrame, key: str | Column, val: str | Column) -> DataFrame:
     """The (key, val) form of a table: two BIGINT columns."""
     as_column = lambda c: F.col(c) if isinstance(c, str) else c

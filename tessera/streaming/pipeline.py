@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from tessera.operators.aggregate import threshold_sum
+from tessera.sources.tables import work_folder
 
 
 def stream_sum(spark: SparkSession, path: str, key: Column, val: Column, threshold: int | float, files_at_once: int = 1) -> DataFrame:
@@ -17,8 +17,7 @@ def stream_sum(spark: SparkSession, path: str, key: Column, val: Column, thresho
     end it. State grows with the number of keys. The result table is complete.
     """
     schema = spark.read.parquet(path).schema
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
     files = f"{path[:-1]}[{path[-1]}]"  # as a pattern, so that one file is a source as well as a folder
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(files)
     sums = threshold_sum(rows.select(key.cast("long").alias("key"), val.cast("long").alias("val")), threshold)

@@ -34,10 +34,21 @@ def test_generator_ignores_partitioning(spark):
     assert one != sorted(map(tuple, SyntheticTable(rows=1000, seed=6).read(spark).collect()))
 
 
-def test_range_plan_has_one_exchange(spark):
+@pytest.mark.parametrize("dealt", [lambda df: agg.range_partitioned_sum(df, 5, 8), lambda df: agg.adaptive_sum(df, 5)])
+def test_no_raw_row_is_exchanged(spark, dealt):
+    """Below every exchange rows are summed, so a key that all rows share moves as a row a task."""
+    df = spark.range(0, 1000, 1, 4).select(F.lit(7).alias("key"), F.col("id").alias("val"))
+    out = dealt(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    lowest = plan[plan.rindex("Exchange ") :]
+    assert "partial_sum" in lowest
+    assert [tuple(r) for r in out.collect()] == [(7, sum(range(6, 1000)))]
+
+
+def test_ranges_are_dealt_by_range(spark):
     df = spark.range(1000).select((F.col("id") % 50).alias("key"), F.col("id").alias("val"))
-    plan = agg.range_partitioned_sum(df, 5, 8)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange ") == 1 and "rangepartitioning" in plan
+    rows = agg.range_partitioned_sum(df, 5, 8).select("key", F.spark_partition_id().alias("p")).collect()
+    assert [r.key for r in sorted(rows, key=lambda r: (r.p, r.key))] == list(range(50))
 
 
 def test_filter_and_columns_reach_the_scan(spark, tmp_path):
@@ -84,13 +95,27 @@ def test_bloom(spark):
     shape = membership.BloomShape.of(1000, 0.01)
     assert shape.bits % 64 == 0 and 9585 <= shape.bits < 9700 and shape.hashes == 7
     words = membership.bloom_build(spark.range(1000), "id", shape)
-    inside = membership.bloom_probe(spark.range(1000), "id", words, shape).collect()
-    outside = membership.bloom_probe(spark.range(100_000, 101_000), "id", words, shape).collect()
-    assert len(inside) == 1000 and all(r.maybe for r in inside) and sum(r.maybe for r in outside) < 50
-    assert not any(r.maybe for r in membership.bloom_probe(spark.range(50), "id", words.limit(0), shape).collect())
+    maybe = lambda df, words: [r.m for r in df.select(membership.maybe_in(F.col("id"), membership.bloom_value(words, shape), shape).alias("m")).collect()]
+    inside, outside = maybe(spark.range(1000), words), maybe(spark.range(100_000, 101_000), words)
+    assert len(inside) == 1000 and all(inside) and sum(outside) < 50
+    assert not any(maybe(spark.range(50), words.limit(0)))
+    assert maybe(spark.createDataFrame([(None,)], "id long"), words) == [False]
     assert {r.id for r in membership.in_list(spark.range(5000), "id", list(range(0, 9000, 3))).collect()} == set(range(0, 5000, 3))
 
 
+@pytest.mark.parametrize("words", [membership.PLAN_WORDS, 10])
+def test_bloom_semi_join(spark, monkeypatch, words):
+    """With a filter, probed before any exchange, and without one that would be too large."""
+    monkeypatch.setattr(membership, "PLAN_WORDS", words)
+    df = spark.range(3000).select((F.col("id") % 1500).alias("k"), "id")
+    keys = spark.range(0, 9000, 7).select(F.col("id").alias("k"))
+    got = membership.bloom_semi_join(df, keys, "k")
+    assert sorted(r.id for r in got.collect()) == [i for i in range(3000) if i % 1500 % 7 == 0]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("scalar-subquery" in plan) == (words > 10)
+    assert membership.bloom_semi_join(df, keys.limit(0), "k").collect() == []
+
+
 def test_adaptive_size_formula(spark):
     cases = [(0, 0), (80, 10), (10, 10), (45, 10), (79, 10), (11, 10), (1, 100)]
     df = spark.createDataFrame(cases, "r long, k long").select("r", "k", numeric.adaptive_size(F.lit(99), F.col("r"), F.col("k"), 2, 12).alias("s"))
@@ -111,6 +136,8 @@ def test_ranges(spark):
     assert sum(x.n for x in partitioning.range_partitions(df, 4).collect()) == 3000
     for f in (partitioning.range_partitions, partitioning.density_histogram, partitioning.adaptive_partitions):
         assert f(df.limit(0), 4).collect() == []
+    wide = spark.createDataFrame([(2**53 + 1, 1), (0, 1), (2**53, 1)], "key long, val long")
+    assert [r.b for r in wide.select(partitioning.equi_width(F.col("key"), 0, 2**53 + 1, 2**30).alias("b")).collect()] == [min(k // ((2**53 + 2) // 2**30), 2**30 - 1) for k in (2**53 + 1, 0, 2**53)]
     one = df.limit(1)
     assert [x.n for x in partitioning.adaptive_partitions(one, 4).collect()] == [1]
 
@@ -141,8 +168,31 @@ def test_measurement(spark):
     assert len(rows.collect()) == 10 and watch.get["n"] == 10
 
 
+def test_approximate_latencies(spark):
+    r = profile.latency_report(spark.range(100_000), "id", accuracy=1000).first()
+    assert r.n == 100_000 and r.max == 99_999 and abs(r.p50 - 50_000) <= 100 and abs(r.p99 - 99_000) <= 100
+
+
 def test_report(spark):
     from tessera.report import run
 
     lines = run(spark, rows=20_000, keys=12, threshold=500, repeats=1)
-    assert any(x.startswith("| two-phase") for x in lines) and lines[-1] == "  ... (2 more)"
+    assert len(lines) == 5 and lines[1].startswith("two-phase: passed ") and "of 20000, 12 groups" in lines[1] and lines[-1].startswith("largest sums: ")
+
+
+def test_work_folder(spark, monkeypatch):
+    """A folder that is set is used; without one a single machine takes a temporary one, and a cluster raises an error."""
+    from types import SimpleNamespace
+
+    from tessera.sources.tables import work_folder
+
+    def session(master, folder=None):
+        kept = {"spark.checkpoint.dir": folder} if folder else {}
+        conf = SimpleNamespace(get=lambda k, d=None: kept.get(k, d), set=kept.__setitem__)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    assert work_folder(session("spark://x:1", "hdfs://y/z/")) == "hdfs://y/z"
+    assert work_folder(session("local[4]")).startswith("/")
+    for master in ("spark://x:1", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            work_folder(session(master))

@@ -1,7 +1,8 @@
 """Shared plumbing: tables, the shared work folder, and files in it.
 
 Nothing here keeps state on one machine. Intermediate tables and files go to a
-fresh folder below ``spark.checkpoint.dir``, which every executor can reach.
+fresh folder below ``spark.checkpoint.dir``, which every executor can reach; without
+that setting one machine takes a temporary folder, and a cluster raises an error.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-PACKAGE_ROOT = str(Path(__file__).resolve().parents[2])
+from tessera.sources.tables import work_folder
+
+PACKAGE = Path(__file__).resolve().parents[1]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,20 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only if none is configured."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A path below the cluster's shared folder that no other run uses."""
+    return f"{work_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+def cleared(spark: SparkSession) -> None:
+    """Remove what all runs have left below the shared folder; for the end of a session, when no table of theirs is read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{work_folder(spark)}/tessera")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -55,11 +55,17 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package by name, as the driver does."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if PACKAGE_ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join(p for p in (PACKAGE_ROOT, *paths) if p)
+    """Ship this package to the executors, compiled, once a session; Spark brings it to every Python worker."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="tessera-package-")  # on the driver alone, which serves it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/tessera_package.zip"
+    with zipfile.PyZipFile(archive, "w") as out:
+        out.writepy(str(PACKAGE))
+    context.addPyFile(archive)
+    context._tessera_shipped = True
 
 
 def open_output(uri: str):

@@ -2,10 +2,11 @@
 
 The histogram of piece lengths, at most one row a length, is all that the
 driver sees. Patterns are multisets of up to four coarse lengths that fill a
-sequence; non-negative least squares finds how often to repeat each so that
-together they use up the histogram; repeats are rounded down and carried out
-with exact lengths. What remains is packed best fit first, longest pieces
-first, into the gaps and into new sequences. All steps work on runs of equal
+sequence, and then a quarter, a sixteenth or a 64th of one for short pieces; non-negative
+least squares finds how often to repeat each so that together they use up the histogram;
+repeats are rounded down and carried out with exact lengths, and the fit is repeated
+while it places many. What remains, with enough short pieces to fill gaps, is packed
+best fit first, longest pieces first, into the gaps and into new sequences. All steps work on runs of equal
 sequences, so their number depends on the capacity and not on the corpus.
 
 The plan says for each length which ranks go to which run of sequences. A piece
@@ -30,6 +31,10 @@ CAPACITY = 4096
 #: Coarse lengths in a full sequence, and the most pieces in a pattern.
 UNITS = 64
 PATTERN_DOCS = 4
+#: Equal parts of a sequence that a pattern may fill, once in each.
+PARTS = (1, 4, 16, 64)
+#: Tokens of short pieces that stay out of patterns within a sequence, as a multiple of the gaps that they may have to fill.
+RESERVE = 0.5
 
 
 class Run(NamedTuple):
@@ -102,45 +107,87 @@ class Plan:
         self.left[length] -= n
 
     def _patterns(self) -> None:
-        width = self.capacity / UNITS
-        unit = np.floor(np.arange(self.capacity + 1) / width + 0.5).astype(int)  # pieces of unit 0 only fill gaps
-        have = np.bincount(unit, weights=self.left, minlength=UNITS + 1)
+        """Patterns that fill a sequence, fitted anew while they find a place for many, then those that fill an even part of one exactly."""
+        for parts in PARTS:
+            if self.capacity % (parts * UNITS):
+                continue
+            while self._fitted(parts) >= max(1, int(self.left.sum()) // 50):
+                pass
+
+    def _fitted(self, parts: int) -> int:
+        """Fit patterns to the histogram of what is left and carry them out; the pieces that found a place."""
+        whole, before = self.capacity // parts, self.patterned
+        self.spare = self._spare(whole) if parts > 1 else np.inf
+        width = whole // UNITS
+        unit = (np.arange(whole + 1) + width // 2) // width  # pieces of unit 0 only fill gaps
+        have = np.bincount(unit, weights=self.left[: whole + 1], minlength=UNITS + 1)
         usable = [p for p in patterns() if all(have[u] for u in p)]
-        if not usable:
-            return
+        if not usable or self.spare <= 0:
+            return 0
         a = np.zeros((UNITS + 1, len(usable)))
         for k, p in enumerate(usable):
             for u in p:
                 a[u, k] += 1
         repeats = np.floor(nnls(a[1:], have[1:]) + 1e-6).astype(np.int64)
         lengths = [np.flatnonzero(unit == u) for u in range(UNITS + 1)]
+        first, filled = self.sequences, 0  # parts are numbered through all sequences of this kind
         for k in np.argsort(-repeats, kind="stable"):
             if not repeats[k]:
                 break
-            self._repeat(usable[k], int(repeats[k]), lengths)
-
-    def _repeat(self, pattern: tuple[int, ...], n: int, lengths: list[np.ndarray]) -> None:
-        """Carry out a pattern up to n times; each pass uses up a length, an n, or finds no more."""
-        while n:
-            chosen: list[int] = []
-            room = self.capacity
-            for place, u in enumerate(pattern):
-                rest = len(pattern) - place - 1
-                fits = [x for x in lengths[u] if self.left[x] > chosen.count(x) and x <= room]
-                if not fits:
-                    return
-                # longest and shortest in turn, and last what fills the sequence best
-                chosen.append(int(fits[-1] if not rest or place % 2 == 0 else fits[0]))
-                room -= chosen[-1]
+            filled = self._repeat(usable[k], int(repeats[k]), lengths, parts, first, filled)
+        self.sequences = first + -(-filled // parts)
+        if filled % parts:
+            self._leave(self.sequences - 1, 1, (parts - filled % parts) * whole)
+        return self.patterned - before
+
+    def _spare(self, whole: int) -> float:
+        """Tokens of pieces up to ``whole`` that may leave for patterns: the rest is kept to fill what longer pieces leave open."""
+        length = np.arange(self.capacity + 1)
+        long = length > whole
+        tokens = length * self.left
+        open_now = sum(gap * n for gap, runs in enumerate(self.open) for _, n in runs)
+        return float(tokens[~long].sum() - RESERVE * (open_now + tokens[long].sum()))
+
+    def _exact(self, pattern: tuple[int, ...], lengths: list[np.ndarray], whole: int, exact: bool) -> tuple[list[int], int] | None:
+        """A length for each place of a pattern, of those that are left, and the room that remains: none if ``exact``."""
+        chosen: list[int] = []
+        room = whole
+        for place, u in enumerate(pattern):
+            rest = len(pattern) - place - 1
+            fits = [int(x) for x in lengths[u] if self.left[x] > chosen.count(x) and x <= room]
+            if exact and rest == 1:  # the last piece closes the part, whatever its unit
+                fits = [x for x in fits if room > x and self.left[room - x] > [*chosen, x].count(room - x)]
+            if exact and not rest:
+                fits = [room] if room and self.left[room] > chosen.count(room) else []
+            if not fits:
+                return None
+            # longest and shortest in turn, and last what fills the sequence best
+            chosen.append(fits[-1] if not rest or place % 2 == 0 else fits[0])
+            room -= chosen[-1]
+        return chosen, room
+
+    def _repeat(self, pattern: tuple[int, ...], n: int, lengths: list[np.ndarray], parts: int, first: int, filled: int) -> int:
+        """Carry out a pattern up to n times, from part ``filled`` on; each pass uses up a length, an n, or finds no more."""
+        whole = self.capacity // parts
+        while n and self.spare > 0 and (found := self._exact(pattern, lengths, whole, parts > 1)):
+            chosen, room = found
             times = min([n, *(int(self.left[x]) // chosen.count(x) for x in set(chosen))])
+            if parts > 1:
+                times = int(min(times, max(1, self.spare // whole)))
             at = 0
             for x in chosen:
-                self._place(x, self.sequences, times, at)
+                for part in range(parts):
+                    start = filled + (part - filled) % parts  # the first part to fill at this place of a sequence
+                    if start < filled + times:
+                        self._place(x, first + start // parts, -(-(filled + times - start) // parts), part * whole + at)
                 at += x
             self.patterned += times * len(chosen)
-            self._leave(self.sequences, times, room)
-            self.sequences += times
+            if room:
+                self._leave(first + filled, times, room)
+            filled += times
             n -= times
+            self.spare -= times * whole
+        return filled
 
     def _leave(self, first: int, n: int, gap: int) -> None:
         if gap:
@@ -215,8 +262,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null text is empty: a piece of the end id alone. Null and repeated ids are
-    packed like any other, as rows; ties in length are ordered by task and place.
-    An empty table has no pieces; columns beside doc_id and text are ignored.
+    packed like any other, as rows; ties in length are ordered by task and place. A text
+    of any length is cut by the task that reads it. An empty table has no pieces; columns
+    beside doc_id and text are ignored, whatever their names.
     """
     cuts = written(cut(docs, tokenizer_path, end_id, capacity), "pieces")
     counts = cuts.groupBy("length", "part").agg(F.count("*").alias("n"))

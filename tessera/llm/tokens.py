@@ -31,7 +31,9 @@ _WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\pZ]"
 #: A text in which a space has white space beside it or stands at an end.
 _ODD = f"^{_WHITE}|{_WHITE}$| {_WHITE}|{_WHITE} "
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ANY_WHITE = re.compile(r"\s")
+#: Marks that end a unit after a word of Latin letters are a pre-token by themselves; the letters are those that no normalisation takes apart.
+_MARKS = ".,;:!?%#&$()"
+_WORD = r"^[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17E}]+$"
 #: Stands between units where ids do not show borders: a word by itself in the vocabularies with word ends.
 _BETWEEN = "\x01"
 
@@ -107,17 +109,52 @@ class UnitTokenizer:
         missing = found < 0
         if missing.any():
             coded = units.filter(pa.array(missing)).dictionary_encode()
-            new = coded.dictionary.to_pylist()
-            parts = [self._fresh(new[k : k + AT_ONCE]) for k in range(0, len(new), AT_ONCE)]
-            flat, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            del new, parts
-            found[missing] = len(self.known) + np.asarray(coded.indices)
-            self.known = pa.concat_arrays([self.known, coded.dictionary])
-            self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
-            self.used = np.concatenate([self.used, np.zeros(len(counts), np.int64)])
+            found[missing] = self._add(coded.dictionary)[np.asarray(coded.indices)]
         self.used[found] = self.batch
         return found
 
+    def _add(self, new) -> np.ndarray:
+        """Put distinct units (an Arrow array) that the cache has not into it; their numbers.
+
+        Marks after a word are a pre-token of their own, so such a unit takes the ids of its word, which may be known, and of its marks.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        word = pc.utf8_rtrim(new, characters=_MARKS)
+        marked = pc.and_(pc.not_equal(word, new), pc.match_substring_regex(word, _WORD))
+        words = word.filter(marked).dictionary_encode()
+        single = pc.filter(new, pc.invert(marked))
+        unknown = pc.filter(words.dictionary, pc.and_(pc.invert(pc.is_in(words.dictionary, value_set=self.known)), pc.invert(pc.is_in(words.dictionary, value_set=single))))
+        whole = pa.concat_arrays([single, unknown])
+        texts = whole.to_pylist()
+        for k in range(0, len(texts), AT_ONCE):
+            self._keep(whole.slice(k, AT_ONCE), *self._fresh(texts[k : k + AT_ONCE]))
+        if len(words):
+            marks = pc.replace_substring_regex(new.filter(marked), _WORD[:-1], "").dictionary_encode()
+            ends = self._library(marks.dictionary.to_pylist())
+            end_counts = np.array([len(e) for e in ends], np.int64)
+            own = pc.index_in(words.dictionary, value_set=self.known).to_numpy(zero_copy_only=False)[np.asarray(words.indices)].astype(np.int64)
+            end = np.asarray(marks.indices)
+            first, count = np.cumsum(self.counts) - self.counts, self.counts[own] + end_counts[end]
+            flat, at = np.zeros(int(count.sum()), np.uint32), np.cumsum(count) - count
+            flat[_ragged(at, self.counts[own])] = self.flat[_ragged(first[own], self.counts[own])]
+            flat[_ragged(at + self.counts[own], end_counts[end])] = np.array([i for e in ends for i in e], np.uint32)[_ragged((np.cumsum(end_counts) - end_counts)[end], end_counts[end])]
+            self._keep(new.filter(marked), flat, count)
+        place = np.empty(len(new), np.int64)
+        of = marked.to_numpy(zero_copy_only=False)
+        before = len(self.known) - int(of.sum()) - len(whole)
+        place[~of] = before + np.arange(len(single))
+        place[of] = before + len(whole) + np.arange(int(of.sum()))
+        return place
+
+    def _keep(self, units, flat: np.ndarray, counts: np.ndarray) -> None:
+        import pyarrow as pa
+
+        self.known = pa.concat_arrays([self.known, units])
+        self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+        self.used = np.concatenate([self.used, np.full(len(counts), self.batch)])
+
     def _make_way(self) -> None:
         """Keep the half of the cache that was used last, and no unit of many bytes."""
         import pyarrow as pa

@@ -26,7 +26,9 @@ def test_units_give_the_library_ids(name, monkeypatch):
     lib = Tokenizer.from_file(path)
     rng = np.random.default_rng(1)
     chars = [*"ab c.,'12éK東\u0301\u0327가\u11a8\x01's", *WHITE, "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|"]
-    texts = TEXTS + ["".join(rng.choice(chars, rng.integers(0, 60))) for _ in range(1500)] + [f"a{w}b {w}c{w} d{w}{w}e" for w in WHITE]
+    texts = TEXTS + ["".join(rng.choice(chars, rng.integers(0, 60))) for _ in range(1500)]
+    texts += [" ".join(rng.choice(list("aéİıŉſßñ"), rng.integers(1, 4)).tobytes().decode("utf-32-le") + "".join(rng.choice(list(".,;:!?%#&$()'-1"), rng.integers(0, 4))) for _ in range(30)) for _ in range(100)]
+    texts += [f"a{w}b {w}c{w} d{w}{w}e" for w in WHITE]
     units = UnitTokenizer(path)
     flat, counts = units.encode(texts)
     want = [lib.encode(t, add_special_tokens=False).ids for t in texts]

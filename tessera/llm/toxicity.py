@@ -108,8 +108,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, sample_byt
 
 def log_ratios(ends: np.ndarray, column: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The log ratio of each bucket's smoothed rates in toxic and other texts; 0 for buckets in no text."""
-    label = np.repeat(y == 1, np.diff(ends, prepend=0))
-    counts = [np.bincount(column[label == k], minlength=BUCKETS) for k in (True, False)]
+    counts = [np.zeros(BUCKETS), np.zeros(BUCKETS)]
+    for start, end, label in zip(np.append(0, ends), ends, y, strict=False):
+        np.add.at(counts[0 if label == 1 else 1], column[start:end], 1)
     rate = [np.log((c + SMOOTHING) / (n + 2 * SMOOTHING)) for c, n in zip(counts, ((y == 1).sum(), (y == 0).sum()), strict=True)]
     return np.where(counts[0] + counts[1] > 0, rate[0] - rate[1], 0.0)
 
@@ -133,8 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_b
                 at += len(held)
 
     spread = texts.repartition(16, "doc_id").select("doc_id", "text", "toxic")
-    rows = spread.mapInArrow(features, "doc_id long, toxic int, features binary").collect()  # the bounded sample: about three features a byte, four bytes each, at most
-    return learn([np.frombuffer(r.features, "<u4") for r in sorted(rows, key=lambda r: r.doc_id)], np.array([r.toxic for r in sorted(rows, key=lambda r: r.doc_id)], float), totals)
+    rows = written(spread.mapInArrow(features, "doc_id long, toxic int, features binary"), "toxicity-features")
+    # the bounded sample, about three features of four bytes each a byte of text at most, one partition after the other
+    sample = sorted(((r.doc_id, r.toxic, np.frombuffer(r.features, "<u4").astype(np.int32)) for r in rows.toLocalIterator()), key=lambda r: r[0])
+    return learn([f for *_, f in sample], np.array([t for _, t, _ in sample], float), totals)
 
 
 def learn(features: list[np.ndarray], y: np.ndarray, totals: dict[int, int]) -> Model:
@@ -143,7 +146,7 @@ def learn(features: list[np.ndarray], y: np.ndarray, totals: dict[int, int]) ->
     if not sizes[0] or not sizes[1]:
         return Model(np.zeros(BUCKETS, np.float32), float(np.log((totals.get(1, 0) + 0.5) / (totals.get(0, 0) + 0.5))))
     ends = np.cumsum([len(f) for f in features])
-    column = np.concatenate(features).astype(np.int32)
+    column = np.concatenate(features).astype(np.int32, copy=False)
     scale = log_ratios(ends, column, y)
     weight = np.where(y == 1, totals[1] / sizes[1], totals[0] / sizes[0])
     w, b = sparse_logistic(ends, column, scale, y, weight / weight.sum())
@@ -166,9 +169,9 @@ def sparse_logistic(ends: np.ndarray, column: np.ndarray, scale: np.ndarray, y:
     z = np.full(len(y), b)
     while True:
         error, slope = _error(z, y, weight), np.zeros(len(scale))
-        for lo in range(0, len(y), 500):
-            part = slice(ends[lo] - counts[lo], ends[min(lo + 500, len(y)) - 1])
-            slope += np.bincount(column[part], weights=np.repeat(error[lo : lo + 500], counts[lo : lo + 500]), minlength=len(scale))
+        for lo in range(0, len(y), 100):
+            part = slice(ends[lo] - counts[lo], ends[min(lo + 100, len(y)) - 1])
+            slope += np.bincount(column[part], weights=np.repeat(error[lo : lo + 100], counts[lo : lo + 100]), minlength=len(scale))
         over = np.where(used, 0.0, np.abs(slope * scale)) - penalty * 1.02
         new = np.flatnonzero(over > 0)
         if not len(new):

@@ -223,7 +223,7 @@ class Reader:
 def text_slices(batches: Iterable, most: int = 6_000_000) -> Iterator:
     """Slices of Arrow batches, of about ``most`` bytes of text in the second column and one row at least.
 
-    Between slices Arrow gives back the memory that it keeps, which a worker would hold beyond its task.
+    After each batch Arrow gives back the memory that it keeps, which a worker would hold beyond its task.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -234,8 +234,8 @@ def text_slices(batches: Iterable, most: int = 6_000_000) -> Iterator:
         while lo < batch.num_rows:
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most)))
             yield batch.slice(lo, hi - lo)
-            pa.default_memory_pool().release_unused()
             lo = hi
+        pa.default_memory_pool().release_unused()
 
 
 def text_batches(batches: Iterable, most: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:

@@ -25,42 +25,52 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents as token-id files, read back; see ``token_digest`` for nulls, repeated ids and empty tables."""
     return token_digest(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, by a model of the labels that are not held out; see ``toxicity.toxicity``."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4,096 tokens; see ``packing.pack``."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of ten or more documents, as a digest; see ``line_dedup.line_digest``."""
     return line_digest(table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents; see ``exact_dedup.exact_dedup``."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of all conversations, calls with their results; see ``tool_calls.link_tool_calls``."""
     return link_tool_calls(table(spark, sf_dir, "conversations"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they hold, in part or as a whole; see ``decontam.leaks``."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by way of ARC and WARC archives; see ``warc.archive_digest``."""
     return archive_digest(table(spark, sf_dir, "pages"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class and number of near copies of every document; see ``ngram_join.ngram_join``."""
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page; see ``html_graph.extract``."""
     return extract(table(spark, sf_dir, "pages"))
 
 

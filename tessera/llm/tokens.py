@@ -97,21 +97,33 @@ class UnitTokenizer:
         flat[_ragged(first[odd], counts[odd])] = np.array([i for x in single for i in x], np.uint32)
         return flat, counts
 
+    def _places(self, units) -> np.ndarray:
+        """The numbers of distinct units (an Arrow array) in the cache, -1 for those it has not.
+
+        The cache is looked up in the units and not they in it: their hash table is the smaller one.
+        """
+        import pyarrow.compute as pc
+
+        place = np.full(len(units), -1, np.int32)
+        at = pc.index_in(self.known, value_set=units).fill_null(-1).to_numpy(zero_copy_only=False)
+        has = np.flatnonzero(at >= 0)
+        place[at[has]] = has
+        return place
+
     def _find(self, units) -> np.ndarray:
         """The numbers of units (an Arrow array) in the cache, where new ones are added."""
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         if len(self.known) > CACHED_UNITS or self.known.nbytes > CACHED_BYTES:
             self._make_way()
         self.batch += 1
-        found = pc.index_in(units, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
-        missing = found < 0
+        coded = units.dictionary_encode()
+        place = self._places(coded.dictionary)
+        missing = place < 0
         if missing.any():
-            coded = units.filter(pa.array(missing)).dictionary_encode()
-            found[missing] = self._add(coded.dictionary)[np.asarray(coded.indices)]
-        self.used[found] = self.batch
-        return found
+            place[missing] = self._add(coded.dictionary.filter(pa.array(missing)))
+        self.used[place] = self.batch
+        return place[np.asarray(coded.indices)]
 
     def _add(self, new) -> np.ndarray:
         """Put distinct units (an Arrow array) that the cache has not into it; their numbers.
@@ -125,8 +137,12 @@ class UnitTokenizer:
         marked = pc.and_(pc.not_equal(word, new), pc.match_substring_regex(word, _WORD))
         words = word.filter(marked).dictionary_encode()
         single = pc.filter(new, pc.invert(marked))
-        unknown = pc.filter(words.dictionary, pc.and_(pc.invert(pc.is_in(words.dictionary, value_set=self.known)), pc.invert(pc.is_in(words.dictionary, value_set=single))))
-        whole = pa.concat_arrays([single, unknown])
+        base, own = len(self.known), self._places(words.dictionary).astype(np.int64)
+        beside = pc.index_in(words.dictionary, value_set=single).fill_null(-1).to_numpy(zero_copy_only=False)
+        own[beside >= 0] = base + beside[beside >= 0]
+        unknown = own < 0
+        own[unknown] = base + len(single) + np.arange(int(unknown.sum()))
+        whole = pa.concat_arrays([single, words.dictionary.filter(pa.array(unknown))])
         texts = whole.to_pylist()
         for k in range(0, len(texts), AT_ONCE):
             self._keep(whole.slice(k, AT_ONCE), *self._fresh(texts[k : k + AT_ONCE]))
@@ -134,7 +150,7 @@ class UnitTokenizer:
             marks = pc.replace_substring_regex(new.filter(marked), _WORD[:-1], "").dictionary_encode()
             ends = self._library(marks.dictionary.to_pylist())
             end_counts = np.array([len(e) for e in ends], np.int64)
-            own = pc.index_in(words.dictionary, value_set=self.known).to_numpy(zero_copy_only=False)[np.asarray(words.indices)].astype(np.int64)
+            own = own[np.asarray(words.indices)]
             end = np.asarray(marks.indices)
             first, count = np.cumsum(self.counts) - self.counts, self.counts[own] + end_counts[end]
             flat, at = np.zeros(int(count.sum()), np.uint32), np.cumsum(count) - count
@@ -143,9 +159,8 @@ class UnitTokenizer:
             self._keep(new.filter(marked), flat, count)
         place = np.empty(len(new), np.int64)
         of = marked.to_numpy(zero_copy_only=False)
-        before = len(self.known) - int(of.sum()) - len(whole)
-        place[~of] = before + np.arange(len(single))
-        place[of] = before + len(whole) + np.arange(int(of.sum()))
+        place[~of] = base + np.arange(len(single))
+        place[of] = base + len(whole) + np.arange(int(of.sum()))
         return place
 
     def _keep(self, units, flat: np.ndarray, counts: np.ndarray) -> None:

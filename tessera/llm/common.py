@@ -8,6 +8,7 @@ that setting one machine takes a temporary folder, and a cluster raises an error
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -68,6 +69,15 @@ def importable(spark: SparkSession) -> None:
     context._tessera_shipped = True
 
 
+def give_back() -> None:
+    """Give the memory that a Python worker has freed back to the machine; a worker lives on after its task and would keep it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library of Linux has it, others need not
+        trim(0)
+
+
 def open_output(uri: str):
     """A stream that writes the file ``uri`` (file, s3, gs or hdfs), folders made."""
     from pyarrow import fs

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import importable, new_dir, open_input, open_output, written
+from tessera.llm.common import give_back, importable, new_dir, open_input, open_output, written
 
 #: Ids of a word and their width by selector (fixed by the coding; 0 is the escape, 1 a run of zeros).
 COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -223,7 +223,7 @@ class Reader:
 def text_slices(batches: Iterable, most: int = 6_000_000) -> Iterator:
     """Slices of Arrow batches, of about ``most`` bytes of text in the second column and one row at least.
 
-    Between slices Arrow gives back the memory that it keeps, which a worker would hold beyond its task.
+    After each slice Arrow gives back memory, after each batch the worker does, which would hold it beyond its task.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -236,6 +236,7 @@ def text_slices(batches: Iterable, most: int = 6_000_000) -> Iterator:
             yield batch.slice(lo, hi - lo)
             pa.default_memory_pool().release_unused()
             lo = hi
+        give_back()
 
 
 def text_batches(batches: Iterable, most: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:

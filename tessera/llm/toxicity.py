@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import importable, written
+from tessera.llm.common import give_back, importable, written
 from tessera.llm.simple8b import text_batches
 
 SIZES = (4, 5, 6)
@@ -230,6 +230,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             if held >= 2_000_000 or k == len(texts) - 1:
                 out.append(score_texts(model, texts[lo : k + 1]))
                 lo, held = k + 1, 0
+                give_back()
         return pd.Series(np.concatenate(out) if out else [], dtype=float)
 
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")).withColumn("score", score("doc.text"))

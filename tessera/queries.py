@@ -449,16 +449,16 @@ _NATURAL = "o_orderstatus = 'F'"
 
 
 def _probed(spark: SparkSession, d: str, built: str, probed: str) -> DataFrame:
-    """maybe of the orders ``probed``, by a filter of the keys of the orders ``built``."""
+    """o_orderkey and maybe of the orders ``probed``, by a filter of the keys of the orders ``built``."""
     keys = table(spark, d, "orders").filter(built)
     shape = membership.BloomShape.of(keys.count(), _RATE)
-    value = membership.bloom_value(membership.bloom_build(keys, "o_orderkey", shape), shape)
-    return table(spark, d, "orders").filter(probed).select(membership.maybe_in(F.col("o_orderkey"), value, shape).alias("maybe"))
+    words = membership.bloom_build(keys, "o_orderkey", shape)
+    return membership.with_maybe(table(spark, d, "orders").filter(probed).select("o_orderkey"), "o_orderkey", words, shape)
 
 
 @register("bloom_no_false_negatives", "SELECT count(*) AS probes, CAST(0 AS BIGINT) AS misses FROM orders")
 def _no_misses(spark, d):
-    return _probed(spark, d, "TRUE", "TRUE").agg(F.count("*").alias("probes"), F.count_if(~F.col("maybe")).alias("misses"))
+    return _probed(spark, d, "TRUE", "TRUE").agg(F.count("*").alias("probes"), F.count_if(F.col("o_orderkey").isNotNull() & ~F.col("maybe")).alias("misses"))
 
 
 @register("bloom_false_positive_rate", "SELECT TRUE AS under_five_percent")

@@ -463,7 +463,7 @@ def _no_misses(spark, d):
 
 @register("bloom_false_positive_rate", "SELECT TRUE AS under_five_percent")
 def _false_positives(spark, d):
-    return _probed(spark, d, _NATURAL, f"NOT ({_NATURAL})").agg((F.count_if("maybe") < 0.05 * F.count("*")).alias("under_five_percent"))
+    return _probed(spark, d, _NATURAL, f"NOT ({_NATURAL})").agg(((F.count("*") == 0) | (F.count_if("maybe") < 0.05 * F.count("*"))).alias("under_five_percent"))
 
 
 @register("bloom_semi_filter", f"SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE {_NATURAL})")

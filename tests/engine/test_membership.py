@@ -47,3 +47,13 @@ def test_no_false_negatives_with_null_keys(spark, tmp_path):
     """NULL is a probe, as in SQL, but no key that could be missed."""
     d = _orders(spark, tmp_path, [(1, "F"), (None, "F"), (None, "O"), (7, None)])
     assert [tuple(r) for r in QUERIES["bloom_no_false_negatives"](spark, d).collect()] == [(4, 0)]
+
+
+def test_false_positive_rate_of_a_large_table(spark, large):
+    assert [tuple(r) for r in QUERIES["bloom_false_positive_rate"](spark, large).collect()] == [(True,)]
+
+
+@pytest.mark.parametrize("rows", [[(1, "F"), (2, "F")], [(1, "O"), (2, "O")], [(1, None)], []])
+def test_false_positive_rate_without_probes_or_keys(spark, tmp_path, rows):
+    d = _orders(spark, tmp_path, rows)
+    assert [tuple(r) for r in QUERIES["bloom_false_positive_rate"](spark, d).collect()] == [(True,)]
